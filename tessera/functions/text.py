@@ -12,6 +12,7 @@ BLANK = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\
 #: One token run: CJK (without the emoji planes), word characters, or one supplementary character (fixed classes).
 TOKEN_RUN = r"[\x{3400}-\x{9FFF}\x{A000}-\x{D7FF}\x{E000}-\x{FAFF}]+|[A-Za-z0-9_-]+|[\x{10000}-\x{10FFFF}]"
 CJK_RUN = r"^[\x{3400}-\x{9FFF}\x{A000}-\x{D7FF}\x{E000}-\x{FAFF}]"
+BEYOND_WORDS = r"[\x{3400}-\x{9FFF}\x{A000}-\x{D7FF}\x{E000}-\x{FAFF}\x{10000}-\x{10FFFF}]"
 WORD = "a-z0-9_-"
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -47,7 +48,9 @@ def tokenize(c: Column, bigrams: bool = False) -> Column:
             cjk = F.when(F.length(run) >= 3, F.concat(cjk, grams(run, 2))).otherwise(cjk)
         return F.when(run.rlike(CJK_RUN), cjk).otherwise(F.array(fold_ascii(run)))
 
-    return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(TOKEN_RUN), F.lit(0)), one))
+    # Most texts have word runs only: folded as a whole, they need no step for each token.
+    mixed = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(TOKEN_RUN), F.lit(0)), one))
+    return F.when(c.rlike(BEYOND_WORDS), mixed).otherwise(F.regexp_extract_all(fold_ascii(c), F.lit("[a-z0-9_-]+"), F.lit(0)))
 
 
 def query_tokens(c: Column) -> Column:

@@ -95,10 +95,8 @@ def score_text(docs: DataFrame, query: str, bigrams: bool = False, k1: float = K
     for i, (_, qtf) in enumerate(wanted):
         weight = F.log((F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
         total = total + qtf * weight * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * length))
-    hit = F.lit(False)
-    for i in range(len(wanted)):
-        hit = hit | (F.col(f"tf{i}") > 0)
-    return rows.filter(hit).crossJoin(F.broadcast(stats)).select("path", "chunk_index", total.alias("score"))
+    # Every weight is above 0, so a score above 0 is a hit. A test of the counts themselves would be pushed below them and tokenise again.
+    return rows.crossJoin(F.broadcast(stats)).select("path", "chunk_index", total.alias("score")).filter("score > 0")
 
 
 def top(scores: DataFrame, limit: int) -> DataFrame:

@@ -141,8 +141,8 @@ def test_folder_cap(spark):
 
 
 def test_hdbscan():
-    rng = np.random.default_rng(0)
-    pts = np.concatenate([rng.normal(c, 0.05, (15, 2)) for c in ((0, 0), (3, 3), (0, 5))] + [np.array([[20.0, -20.0]])])
+    line = np.stack([np.arange(15) * 0.1, np.zeros(15)], axis=1)
+    pts = np.concatenate([line + c for c in ((0, 0), (5, 5), (0, 9))] + [np.array([[20.0, -20.0]])])
     labels = cluster.hdbscan(pts, 3)
     assert len(set(labels[:15])) == len(set(labels[15:30])) == len(set(labels[30:45])) == 1
     assert len(set(labels[:45])) == 3 and labels[45] == -1
