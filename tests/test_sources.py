@@ -62,3 +62,30 @@ def test_stream(spark, tmp_path):
     time.sleep(0.1)
     seen = {(r.path, r.type, r.action, r.events) for r in got}
     assert ("a", "modify", "index", 2) in seen and ("c", "delete", "remove", 1) in seen and ("b", "create", "index", 1) in seen
+
+
+def test_index_run(spark, tmp_path):
+    from tessera.plans import indexing
+
+    folder = tmp_path / "notes"
+    folder.mkdir()
+    (folder / "a.md").write_text("# Alpha\nabout apples [[b]]")
+    (folder / "b.md").write_text("# Beta\nabout bread")
+    store, provider = Store(spark, str(tmp_path / "store")).open(), embedding.HashingProvider()
+    read = lambda: markdown.read_notes(spark, str(folder))
+    run = indexing.update(store, read(), provider, 10**13)
+    assert (run.indexed, run.removed, run.hot) == (2, 0, 1)  # a links, and the link's target isn't a path of b.md
+    assert {r.path: r.title for r in store.notes().collect()} == {"a.md": "Alpha", "b.md": "Beta"}
+    assert indexing.update(store, read(), provider, 10**13).indexed == 0
+    (folder / "b.md").unlink()
+    assert indexing.update(store, read(), provider, 10**13).removed == 1
+    assert [r.path for r in store.notes().collect()] == ["a.md"] and store.chunks().count() == 1
+    batch = spark.createDataFrame([("c.md", "index"), ("a.md", "remove")], "path string, action string")
+    (folder / "c.md").write_text("# Gamma\nabout grapes")
+    (folder / "d.md").write_text("# Delta\nabout dates")
+    write = indexing.stream_writer(store, provider, lambda p: read().join(p, "path", "left_semi"), lambda: 10**13)
+    write(batch, 0)
+    write(batch, 0)
+    assert [r.path for r in store.notes().collect()] == ["c.md"]
+    write(spark.createDataFrame([("d.md", "index")], "path string, action string"), 1)
+    assert store.read("picks", "src string, dst string, sim double, pick_rank int").select("src").collect()[0].src == "d.md"
