@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ranking import global_rank
+
 K = 60
 FUSION_POOL = 100
 KW_POOL = 500
@@ -16,7 +18,7 @@ def share(rank, weight: float = 1.0, k: int = K):
 
 def rank_map(scores: DataFrame, key: str = "path", value: str = "score") -> DataFrame:
     """(key, rank) from 1 by descending value, ties by key."""
-    return scores.select(key, F.row_number().over(Window.orderBy(F.desc(value), key)).alias("rank"))
+    return global_rank(scores.select(key, value), value, key).select(key, "rank")
 
 
 def fuse(legs: list[tuple[DataFrame, float]], key: str = "path", k: int = K) -> DataFrame:
@@ -45,9 +47,10 @@ def fuse_keyword_ranks(ranked: DataFrame, keyword: DataFrame, key: str = "path",
 
 
 def order_pool(fused: DataFrame, pool: int = FUSION_POOL) -> DataFrame:
-    """Adds position: the first pool by cosine re-ranked, the rest after them in cosine order."""
-    order = Window.orderBy(F.col("cos_rank") > pool, F.when(F.col("cos_rank") <= pool, -F.col("fused")), "cos_rank")
-    return fused.withColumn("position", F.row_number().over(order))
+    """Adds position: the first pool by cosine re-ranked, the rest after them in cosine order, which is their rank."""
+    head = fused.filter(F.col("cos_rank") <= pool)
+    head = head.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused"), "cos_rank")))
+    return head.unionByName(fused.filter(F.col("cos_rank") > pool).withColumn("position", F.col("cos_rank")))
 
 
 def first_seen_ranks(hits: DataFrame, exclude: DataFrame | None = None, key: str = "path") -> DataFrame:

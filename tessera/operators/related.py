@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vector
+from tessera.functions.ranking import global_rank
 from tessera.operators import dismissals, fusion
 from tessera.operators.index import finite
 
@@ -20,7 +21,7 @@ def cosine_ranked(notes: DataFrame, anchor: str, min_score: float = 0.5, live: D
     rows = rows.withColumn("score", vector.dot(F.col("vec"), F.col("_q"))).filter(finite(F.col("score"), min_score)).drop("vec", "_q")
     if live is not None:
         rows = rows.join(live.select("path").distinct(), "path", "left_semi")
-    return rows.withColumn("cos_rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
+    return global_rank(rows, "score", "path", "cos_rank")
 
 
 def dimension_mismatches(notes: DataFrame, dim: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vector
+from tessera.functions.ranking import global_rank
 from tessera.functions.udfs import SNIPPET, build_snippet, jaro_winkler_to
 from tessera.operators import bm25, fusion
 
@@ -72,7 +73,7 @@ def hybrid_search(
     semantic = None
     if query_vec is not None:
         semantic = semantic_scores(chunks, query_vec)
-        semantic = semantic.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
+        semantic = global_rank(semantic, "score", "path")
         legs.append((semantic.select("path", "rank"), weights["semantic"]))
     legs.append((fusion.rank_map(fuzzy_titles(notes, query, pool)), weights["fuzzy"]))
     fused = fusion.fuse(legs)

@@ -184,3 +184,14 @@ def test_path_board(spark):
     nodes, edges = canvas.path_board(chain, canvas.empty_links(spark))
     assert [r.color for r in nodes.orderBy("position").collect()] == ["4", "5", "4"]
     assert [r.label for r in edges.orderBy("position").collect()] == ["0.90", "0.80"]
+
+
+def test_global_rank(spark):
+    from tessera.functions.ranking import global_rank
+
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("path"), ((F.col("id") * 7919) % 301 / 7).alias("score"))
+    one = {r.path: r["rank"] for r in global_rank(rows, "score", "path").collect()}
+    many = {r.path: r["rank"] for r in global_rank(rows, "score", "path", single=10, bucket_rows=150).collect()}
+    assert one == many and sorted(one.values()) == list(range(1, 2001))
+    flat = rows.withColumn("score", F.lit(1.0))
+    assert sorted(r["rank"] for r in global_rank(flat, "score", "path", single=10, bucket_rows=150).collect()) == list(range(1, 2001))
