@@ -30,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of a batch that goes to a Python worker: a batch is held several times over while it is worked on.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand rows to Python in batches of BATCH_BYTES at most: by rows alone, a batch of long texts can be of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: computed once, survives lost executors."""
     spark = df.sparkSession
@@ -51,6 +63,14 @@ def discard(df: DataFrame | None) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the table doesn't have, without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column's decimal text, modulo n; 0 for null."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))

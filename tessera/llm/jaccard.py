@@ -11,7 +11,8 @@ A band is ``RATIO`` wide; a set near a band's upper end has a sketch for the nex
 ones (shared by more than ``CROWD`` different sets) drop those: linked sets agree in more than slack lanes, so one that is
 not crowded, or crowded on both sides, remains.
 
-Keys lead each set to one representative of the key; components of these candidate links are clusters. Within a cluster
+A key of few sets gives their pairs, which must share as many keys as linked sets do, less those that may be crowded; a crowded
+key leads its sets to one of them. Components of these candidate links are clusters. Within a cluster
 all pairs are compared in blocks of at most ``BLOCK`` sets: first the Hamming distance of their bit sketches, then, where that
 leaves a link possible and the two aren't linked through others yet, the sets themselves. Equal sets are one from the start.
 
@@ -31,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize, mix64, word_hashes
+from tessera.llm.common import discard, free_name, materialize, mix64, small_batches, word_hashes
 
 WORDS = 4
 PERCENT = 85
 RATIO = 1.4
 CROWD = 6
-BLOCK = 400
+BLOCK = 800
 #: Up to so many rows of 40 bytes are broadcast to pick the texts of clusters; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -155,73 +156,64 @@ def _keyed(percent: int, words: int):
 _STARS = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("slack", pa.int32()), ("crowded", pa.bool_())])
 
 
+def _pairs(nodes: np.ndarray, slacks: np.ndarray, run: np.ndarray) -> list[tuple]:
+    """All pairs of nodes of one run; runs are short and contiguous."""
+    out = []
+    for k in range(1, CROWD):
+        same = run[k:] == run[:-k]
+        if not same.any():
+            break
+        out.append((nodes[k:][same], nodes[:-k][same], slacks[k:][same], np.zeros(same.sum(), dtype=bool)))
+    return out
+
+
 def _stars(batches):
-    """Rows sorted by key and node: each node meets the key's first one. Keys of one node give nothing. What is held is the
-    last key's rows while it may still be small, and its first node afterwards."""
-    key = first = None  # of the key at the end of the last batch
-    n = 0  # its different nodes so far
-    held: list[tuple[int, int]] = []  # its nodes and slacks while it isn't known to be crowded
-    last = None
+    """Rows sorted by key and node. A key of few nodes gives all their pairs, a crowded one a row for each node with its first node. Keys of
+    one node give nothing. What is held is the last key's rows while they are few, and its first node afterwards."""
+    key = first = last = None  # of the rows so far
+    held_nodes, held_slacks = np.zeros(0, np.int64), np.zeros(0, np.int32)  # the last key's, while they are few
+    n = 0  # the last key's different nodes
+
+    def batch_of(parts):
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=_STARS)
+
+    def star(nodes, slacks):
+        return nodes, np.full(len(nodes), first, dtype=np.int64), slacks, np.ones(len(nodes), dtype=bool)
+
     for batch in batches:
         k, v, s = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(k):
+            continue
         fresh = np.ones(len(k), dtype=bool)
         fresh[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-        if len(k) and key is not None and k[0] == key and v[0] == last:
-            fresh[0] = False
-        end_key, end_node = (k[-1], v[-1]) if len(k) else (key, last)
+        fresh[0] = not (k[0] == key and v[0] == last)
+        end = k[-1], v[-1]
         k, v, s = k[fresh], v[fresh], s[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        stops = np.append(starts[1:], len(k))
-        out = [[], [], [], []]
-
-        def give(nodes, other, slacks, crowded, out=out):
-            keep = nodes != other
-            out[0].append(nodes[keep])
-            out[1].append(np.full(keep.sum(), other, dtype=np.int64))
-            out[2].append(slacks[keep])
-            out[3].append(np.full(keep.sum(), crowded))
-
-        begin = 0
-        if len(k) and key is not None and k[0] == key:  # the last batch's key goes on
-            stop = stops[0]
-            n += stop
-            nodes, slacks = v[:stop], s[:stop]
-            if n > CROWD and held:
-                nodes = np.concatenate([np.array([x for x, _ in held], np.int64), nodes])
-                slacks = np.concatenate([np.array([x for _, x in held], np.int32), slacks])
-                held = []
+        parts: list[tuple] = []
+        goes_on = int(np.searchsorted(k != key, True)) if key is not None else 0  # rows of the last batch's key
+        if goes_on:
+            n += goes_on
+            held_nodes, held_slacks = np.append(held_nodes, v[:goes_on]), np.append(held_slacks, s[:goes_on])
             if n > CROWD:
-                give(nodes, first, slacks, True)
-            else:
-                held += list(zip(nodes.tolist(), slacks.tolist(), strict=True))
-            begin = 1
-        if begin < len(starts):
-            if held:
-                give(np.array([x for x, _ in held], np.int64), first, np.array([x for _, x in held], np.int32), False)
-            held = []
-            sizes = stops[begin:] - starts[begin:]
-            inner = np.repeat(np.arange(len(sizes)), sizes)
-            body = slice(starts[begin], None)
-            reps, crowd = v[starts[begin:]][inner], (sizes > CROWD)[inner]
-            final = inner == len(sizes) - 1
-            send = (v[body] != reps) & (~final | crowd)
-            out[0].append(v[body][send])
-            out[1].append(reps[send])
-            out[2].append(s[body][send])
-            out[3].append(crowd[send])
-            key, first, n = k[starts[-1]], v[starts[-1]], int(sizes[-1])
-            if n <= CROWD:
-                held = list(zip(v[starts[-1] :].tolist(), s[starts[-1] :].tolist(), strict=True))
-        key, last = end_key, end_node
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=_STARS)
-    if len(held) > 1:
-        nodes = np.array([x for x, _ in held], np.int64)
-        keep = nodes != first
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes[keep]), pa.array(np.full(keep.sum(), first, np.int64)), pa.array(np.array([x for _, x in held], np.int32)[keep]), pa.array(np.zeros(keep.sum(), bool))],
-            schema=_STARS,
-        )
+                parts.append(star(held_nodes, held_slacks))
+                held_nodes, held_slacks = held_nodes[:0], held_slacks[:0]
+        k, v, s = k[goes_on:], v[goes_on:], s[goes_on:]
+        if len(k):
+            parts += _pairs(held_nodes, held_slacks, np.zeros(len(held_nodes), np.int64))
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            sizes = np.diff(np.append(starts, len(k)))
+            run = np.repeat(np.arange(len(sizes)), sizes)
+            crowded, final = (sizes > CROWD)[run], run == len(sizes) - 1
+            if crowded.any():
+                parts.append((v[crowded], v[starts][run][crowded], s[crowded], np.ones(crowded.sum(), dtype=bool)))
+            few = ~crowded & ~final
+            parts += _pairs(v[few], s[few], run[few])
+            first, n = v[starts[-1]], int(sizes[-1])
+            held_nodes, held_slacks = (v[final], s[final]) if n <= CROWD else (v[:0], s[:0])
+        key, last = end
+        yield from batch_of(parts)
+    yield from batch_of(_pairs(held_nodes, held_slacks, np.zeros(len(held_nodes), np.int64)))
 
 
 def candidate_links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,12 +224,13 @@ def candidate_links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
         .groupBy("node", "other", "slack", "crowded").agg(F.count(F.lit(1)).alias("keys")),
         "stars",
     )
-    # The representative of a crowded key isn't among its own rows, so it may have one more crowded key than is counted here;
-    # it need not decide: it stays a link's other end.
-    busy = stars.filter("crowded").groupBy("node", "slack").agg(F.sum("keys").alias("keys")).filter("keys > slack").select("node").distinct()
-    plain = stars.filter("NOT crowded").select("node", "other")
-    crowded = stars.filter("crowded").join(busy, "node", "left_semi").select("node", "other")
-    return plain.unionByName(crowded).distinct().select(F.col("node").alias("u"), F.col("other").alias("v"))
+    busy = materialize(stars.filter("crowded").groupBy("node", "slack").agg(F.sum("keys").alias("crowds")), "crowds")
+    # Linked sets share more than slack keys. Crowded ones among these are no more than either has.
+    plain = stars.filter("NOT crowded").join(busy.withColumnRenamed("crowds", "a"), ["node", "slack"], "left")
+    plain = plain.join(busy.select(F.col("node").alias("other"), "slack", F.col("crowds").alias("b")), ["other", "slack"], "left")
+    plain = plain.filter(F.col("keys") + F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))) > F.col("slack"))
+    crowded = stars.filter("crowded AND node != other").join(busy.filter("crowds > slack").select("node", "slack"), ["node", "slack"], "left_semi")
+    return plain.select("node", "other").unionByName(crowded.select("node", "other")).distinct().select(F.col("node").alias("u"), F.col("other").alias("v"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -330,6 +323,7 @@ def _verify(percent: int, words: int):
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     known = materialize(texts.mapInArrow(lambda batches: _members(batches, words), "doc_id long, n_shingles long, node long"), "nodes")
     clusters = materialize(components(candidate_links(docs, percent, words, id_col, text_col)), "clusters")
@@ -361,5 +355,6 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_c
     """One document of each component: that with the smallest id, with its own columns."""
     linked = link_documents(docs, percent, words, id_col, text_col)
     kept = materialize(linked.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    own = docs.join(kept.select(F.col("doc_id").alias("_id")), F.col(id_col).cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    mark = free_name(docs, "kept_id")
+    own = docs.join(kept.select(F.col("doc_id").alias(mark)), docs[id_col].cast("long").eqNullSafe(F.col(mark))).drop(mark)
     return own if kept.filter("rows > 1").isEmpty() else own.dropDuplicates([id_col])
