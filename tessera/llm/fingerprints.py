@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mix64
+from tessera.llm.common import materialize, mix64, small_batches
 
 WINDOW = 7
 MAX_CUTS = 63
@@ -239,6 +239,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     range's edges, with their texts, meet their neighbours in a join of as many rows as there are tasks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")

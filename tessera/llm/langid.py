@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64
+from tessera.llm.common import mix64, small_batches
 
 SAMPLE = 10_000
 SHARE = 0.02
@@ -143,6 +143,7 @@ def _task_grams(batches):
 def fit_filter(labelled: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> LanguageFilter:
     """Fit on rows (doc_id, text, lang). At most ``sample`` rows are read; what reaches the driver is the filters'
     n-grams: those that ``share`` of a language's texts have, so a bounded number for each language."""
+    small_batches(labelled.sparkSession)
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), "text")
@@ -173,5 +174,6 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
                 names=["doc_id", "lang_pred", "score"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize
+from tessera.llm.common import discard, free_name, materialize, small_batches
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CHUNK = 20_000
@@ -159,6 +159,7 @@ def mix(
     Only ids, sources and sizes are shuffled. The driver holds one row for each source.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sizes = materialize(measure(docs, id_col, text_col, source_col), "sizes")
     known = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     known.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -205,8 +206,9 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     Documents without words are kept once: they have no share in the weights. Rows that share an id share its copies, rounded up.
     """
     mixed = mix(docs, **options)
-    copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.when(F.max("size") == 0, F.lit(1)).otherwise(F.ceil(F.sum("copies") / F.count(F.lit(1)))).cast("int").alias("_copies")
+    mark, times, copy = (free_name(docs, x) for x in ("mixed_id", "mixed_times", "mixed_copy"))
+    copies = mixed.groupBy(F.col("doc_id").alias(mark)).agg(
+        F.when(F.max("size") == 0, F.lit(1)).otherwise(F.ceil(F.sum("copies") / F.count(F.lit(1)))).cast("int").alias(times)
     )
-    joined = docs.join(copies, F.col(options.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("_id")))
-    return joined.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    joined = docs.join(copies, docs[options.get("id_col", "doc_id")].cast("long").eqNullSafe(F.col(mark)))
+    return joined.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize
+from tessera.llm.common import discard, free_name, materialize
 
 ATTEMPTS = 8
 #: Up to so many documents with entities, their maps are broadcast (some 300 bytes each); beyond, the join shuffles.
@@ -209,28 +209,29 @@ def rewrite(text: Column, known: Column) -> Column:
 
 def replace_entities(docs: DataFrame, key: str = "tessera-surrogates", id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """The table with surrogates in its texts; with counts, also n_entities and one count for each type (n_email, ...)."""
-    doc, text = F.col(id_col), F.col(text_col)
-    found = docs.select(doc.alias("_id"), find_entities(text).alias("found")).filter(F.size("found") > 0)
-    listed = materialize(found.select("_id", F.explode(F.array_distinct("found")).alias("value")), "entities")
+    doc, text = docs[id_col], F.col(text_col)
+    mark, known, kinds = (free_name(docs, x) for x in ("entity_id", "entity_map", "entity_kinds"))
+    found = docs.select(doc.alias("id"), find_entities(text).alias("found")).filter(F.size("found") > 0)
+    listed = materialize(found.select("id", F.explode(F.array_distinct("found")).alias("value")), "entities")
     table = surrogates(listed, key)
     maps = materialize(
-        listed.distinct().join(table, "value").groupBy("_id")
-        .agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias("_known"), F.map_from_entries(F.collect_set(F.struct("value", "kind"))).alias("_kinds")),
+        listed.distinct().join(table, "value").groupBy(F.col("id").alias(mark))
+        .agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias(known), F.map_from_entries(F.collect_set(F.struct("value", "kind"))).alias(kinds)),
         "maps",
     )
     side = F.broadcast(maps) if maps.count() <= BROADCAST_DOCUMENTS else maps
     has = F.coalesce(text.rlike(HINT) & text.rlike(ENTITY), F.lit(False))
-    touched = docs.filter(has).join(side, doc.eqNullSafe(F.col("_id")))
-    names = [f"n_{x}" for x in PATTERNS]
-    order = [*docs.columns, *(["n_entities", *names] if counts else [])]
+    touched = docs.filter(has).join(side, doc.eqNullSafe(F.col(mark)))
+    names = ["n_entities", *(f"n_{x}" for x in PATTERNS)] if counts else []
+    order = [*(c for c in docs.columns if c not in names), *names]
     every = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     if counts:
-        kinds = F.transform(every, lambda x: F.col("_kinds")[x])
+        all_kinds = F.transform(every, lambda x: F.col(kinds)[x])
         touched = touched.withColumn("n_entities", F.size(every).cast("long"))
         for name in PATTERNS:
-            touched = touched.withColumn(f"n_{name}", (F.size(kinds) - F.size(F.array_remove(kinds, name))).cast("long"))
-    touched = touched.withColumn(text_col, rewrite(text, F.col("_known")))
+            touched = touched.withColumn(f"n_{name}", (F.size(all_kinds) - F.size(F.array_remove(all_kinds, name))).cast("long"))
+    touched = touched.withColumn(text_col, rewrite(text, F.col(known)))
     plain = docs.filter(~has)
-    if counts:
-        plain = plain.select("*", *[F.lit(0).cast("long").alias(x) for x in ("n_entities", *names)])
+    for name in names:
+        plain = plain.withColumn(name, F.lit(0).cast("long"))
     return plain.select(*order).unionByName(touched.select(*order))

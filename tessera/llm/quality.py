@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, small_batches
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -74,6 +74,7 @@ def count_texts(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
             columns = [pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * len(_COUNTS)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], names=["doc_id", "lang", "source", *_COUNTS])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
         F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import PairCache
+from tessera.llm.common import small_batches
 
 #: The split of the byte-level pre-tokenizer (a fixed value of the vocabulary file's format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -128,6 +129,7 @@ def count_tokens(
 
     The broadcast table has at most 2 * table_size short entries, whatever the corpus.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = docs.sparkSession.sparkContext.broadcast(frequent_pieces(rows, path, table_size))
 

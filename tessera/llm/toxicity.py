@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import word_hashes
+from tessera.llm.common import small_batches, word_hashes
 
 THRESHOLD = 0.7
 SAMPLE_TOXIC = 2_500
@@ -206,6 +206,7 @@ def _task_features(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> ToxicityModel:
     """Fit on labels (doc_id, toxic) and the texts and languages of docs (doc_id, text, lang)."""
+    small_batches(docs.sparkSession)
     model = ToxicityModel()
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -237,5 +238,6 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
                 names=["doc_id", "score", "predicted"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")

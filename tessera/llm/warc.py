@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, shared_dir
+from tessera.llm.common import materialize, shared_dir, small_batches
 
 #: Compressed bytes after which the writer begins a new file: the reader holds a file in memory.
 FILE_BYTES = 8 << 20
@@ -253,6 +253,7 @@ def read_archives(spark: SparkSession, paths: list[str], with_payload: bool = Tr
 def archive_pages(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
     """Write all pages as WARC records and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     files = write_archives(mark_revisits(pages, least), folder)
     paths = [r.path for r in files.select("path").orderBy("path").collect()]  # one short row for each file
