@@ -25,7 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 200_000
+from tessera.llm.common import small_batches
+
+CACHE = 300_000
+#: Lengths of pre-tokens' beginnings whose tables are kept, and how many.
+HEADS, HEAD_CACHE = (9, 5), 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,6 +72,13 @@ class ByteBPE:
                     self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
                 else:
                     self.odd.add(rank)
+        tails: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                tails.setdefault(token[-3:], set()).add(len(token))
+        # By its last three bytes, how long a token can be.
+        self.lengths = {tail: (*sorted(n, reverse=True), 2, 1) for tail, n in tails.items()}
+        self._heads = PairCache(HEAD_CACHE)
         self._edges: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
         self._valid: dict[tuple[int, int], bool] = {}
 
@@ -127,9 +138,12 @@ class ByteBPE:
 
     def extend(self, data: bytes, last: list[int]) -> None:
         """Fill the table of last tokens (last[i]: of the first i + 1 bytes) up to the end of data."""
-        get, known, valid, longest, odd = self.ranks.get, self._valid.get, self.valid, self.longest, self.odd
+        get, known, valid, odd, lengths = self.ranks.get, self._valid.get, self.valid, self.odd, self.lengths.get
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            for n in lengths(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1):  # longest first
+                start = end - n
+                if start < 0:
+                    continue
                 token = get(data[start:end])
                 if token is None or token in odd:
                     continue
@@ -155,9 +169,21 @@ class ByteBPE:
         """Token ids of one pre-token. A pre-token that is itself in the vocabulary is that token."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        last: list[int] = []
+        return self.walk(self._table(data))
+
+    def _table(self, data: bytes) -> list[int]:
+        """The table of last tokens. Beginnings that many pre-tokens share are filled once."""
+        size = next((n for n in HEADS if n < len(data)), 0)
+        if size:
+            known = self._heads.get(data[:size])
+            if known is None:
+                known = self._table(data[:size])
+                self._heads.put(data[:size], known)
+            last = known[:]
+        else:
+            last = []
         self.extend(data, last)
-        return self.walk(last)
+        return last
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -255,6 +281,7 @@ def encode_documents(
                 columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(run, schema)
