@@ -72,7 +72,7 @@ def hybrid_search(
     legs = [(leg.select("path", "rank"), weights["bm25"])]
     semantic = None
     if query_vec is not None:
-        semantic = semantic_scores(chunks, query_vec)
+        semantic = semantic_scores(chunks, query_vec).cache()  # one short row for each note, read by the ranks, the fusion and the snippets
         semantic = global_rank(semantic, "score", "path")
         legs.append((semantic.select("path", "rank"), weights["semantic"]))
     legs.append((fusion.rank_map(fuzzy_titles(notes, query, pool)), weights["fuzzy"]))
@@ -86,7 +86,7 @@ def hybrid_search(
     if scope != "all":
         rows = rows.filter(F.col("tier") == scope)
     rows = rows.orderBy(F.desc("fused"), "path").limit(top_results)
-    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused"), "path")))
+    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused"), "path"))).cache()
     if not snippets:
         return rows.select("position", "path", "title", F.col("fused").alias("score"), "tier")
     return _with_snippets(rows, chunks, leg, semantic, expanded, weights)
