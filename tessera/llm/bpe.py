@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import CACHES, claim, small_batches
 
 CACHE = 300_000
 #: Lengths of pre-tokens' beginnings whose tables are kept, and how many.
@@ -246,6 +246,7 @@ class TextCodec:
 
 
 _CODECS: dict[tuple[str, str], TextCodec] = {}
+CACHES["bpe"] = _CODECS.clear
 
 
 def codec(path: str, pattern: str) -> TextCodec:
@@ -264,6 +265,7 @@ def encode_documents(
     """
 
     def run(batches):
+        claim("bpe")
         text_codec = codec(path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: What empties each operator's caches in this worker.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str = "") -> None:
+    """Called where an operator begins work in a Python worker: workers are used again, and the caches of the operators before it
+    would add up."""
+    for name, empty in CACHES.items():
+        if name != owner:
+            empty()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: computed once, survives lost executors."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import PairCache
-from tessera.llm.common import small_batches
+from tessera.llm.common import CACHES, claim, small_batches
 
 #: The split of the byte-level pre-tokenizer (a fixed value of the vocabulary file's format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -83,6 +83,7 @@ def byte_letters() -> dict[int, int]:
 
 
 _COUNTERS: dict[str, PieceCounter] = {}
+CACHES["tokens"] = _COUNTERS.clear
 
 
 def piece_counter(path: str) -> PieceCounter:
@@ -134,6 +135,7 @@ def count_tokens(
     table = docs.sparkSession.sparkContext.broadcast(frequent_pieces(rows, path, table_size))
 
     def run(batches):
+        claim("tokens")
         counter, known = piece_counter(path), table.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
