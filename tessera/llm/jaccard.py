@@ -13,7 +13,7 @@ not crowded, or crowded on both sides, remains.
 
 A key of few sets gives their pairs, which must share as many keys as linked sets do, less those that may be crowded; a crowded
 key leads its sets to one of them. Components of these candidate links are clusters. Within a cluster
-all pairs are compared in blocks of at most ``BLOCK`` sets: first the Hamming distance of their bit sketches, then, where that
+all pairs are compared in blocks of bounded size: first the Hamming distance of their bit sketches, then, where that
 leaves a link possible and the two aren't linked through others yet, the sets themselves. Equal sets are one from the start.
 
 Cases: null texts, and texts without words, have the empty set and link with nothing. Texts of fewer words than a shingle has are one
@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, free_name, materialize, mix64, small_batches, word_hashes
+from tessera.llm.common import claim, discard, free_name, materialize, mix64, small_batches, word_hashes
 
 WORDS = 4
 PERCENT = 85
 RATIO = 1.4
 CROWD = 6
-BLOCK = 800
+#: Sets that a task holds twice at most: so many, or so many bytes.
+BLOCK, BLOCK_BYTES = 6_000, 24 << 20
 #: Up to so many rows of 40 bytes are broadcast to pick the texts of clusters; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -117,6 +118,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _members(batches, words: int):
+    claim()
     for batch in batches:
         sets = [shingles(x, words) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -133,6 +135,7 @@ _KEYED = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("slack", pa.int3
 
 def _keyed(percent: int, words: int):
     def run(batches):
+        claim()
         seen = set()  # sets of this task, at 100 bytes each
         for batch in batches:
             keys, nodes, slacks = [], [], []
@@ -267,7 +270,7 @@ class Linker:
     def links(self, sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
         n = len(sets)
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        bits = 64 * max(1, -(-2 * int(sizes.max()) // 64))
+        bits = 64 * max(1, -(-2 * int(sizes.mean()) // 64))  # of larger sets the bound is weaker
         packed = np.stack([np.packbits(np.bincount((x % np.uint64(bits)).astype(np.int64), minlength=bits) & 1) for x in sets]).view(np.uint64)
         root = np.arange(n)
         out = []
@@ -299,14 +302,14 @@ def _verify(percent: int, words: int):
     linker = Linker(percent)
 
     def settle(key, rows):
-        held = [(node, side, members) for node, side, text in rows if node_of(members := shingles(text, words)) == node]
-        if len(held) < 2:
+        if len(rows) < 2:
             return None
-        nodes, sides, sets = zip(*held, strict=True)
+        nodes, sides, sets = zip(*rows, strict=True)
         pairs = linker.links(list(sets), np.array(sides), key[1] != key[2])
         return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], schema=_LINKS)
 
     def run(batches):
+        claim()
         key, rows = None, []
         for batch in batches:
             for *now, node, side, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -314,7 +317,9 @@ def _verify(percent: int, words: int):
                     if rows and (done := settle(key, rows)) is not None:
                         yield done
                     key, rows = now, []
-                rows.append((node, side, text))
+                members = shingles(text, words)
+                if node_of(members) == node:  # else it is another text of the same id
+                    rows.append((node, side, members))
         if rows and (done := settle(key, rows)) is not None:
             yield done
 
@@ -327,21 +332,23 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     texts = _texts(docs, id_col, text_col)
     known = materialize(texts.mapInArrow(lambda batches: _members(batches, words), "doc_id long, n_shingles long, node long"), "nodes")
     clusters = materialize(components(candidate_links(docs, percent, words, id_col, text_col)), "clusters")
-    firsts = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    firsts = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    members = clusters.join(firsts, "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).cast("int")
+    sizes = members.groupBy("root").agg(blocks.alias("blocks"))
     wanted = materialize(
-        clusters.join(sizes, "root").join(firsts, "node")
+        members.join(sizes, "root")
         .select("doc_id", "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side")),
         "wanted",
     )
     pick = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     # An id may stand on several rows with different texts: the text's own set decides below.
     chosen = texts.join(pick, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = chosen.select(
+    dealt = chosen.select(
         "root", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "node", "side", "text"
     )
     links = materialize(
-        blocks.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node").mapInArrow(_verify(percent, words), "u long, v long"), "links"
+        dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node").mapInArrow(_verify(percent, words), "u long, v long"), "links"
     )
     roots = components(links)
     named = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
