@@ -360,8 +360,11 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: that with the smallest id, with its own columns."""
-    linked = link_documents(docs, percent, words, id_col, text_col)
-    kept = materialize(linked.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    mark = free_name(docs, "kept_id")
-    own = docs.join(kept.select(F.col("doc_id").alias(mark)), docs[id_col].cast("long").eqNullSafe(F.col(mark))).drop(mark)
-    return own if kept.filter("rows > 1").isEmpty() else own.dropDuplicates([id_col])
+    linked = materialize(link_documents(docs, percent, words, id_col, text_col).select("doc_id", "component_id"), "linked")
+    mark = free_name(docs, "dropped_id")
+    # Those that go are fewer than those that stay.
+    dropped = linked.filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias(mark)).distinct()
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    own = docs.join(side, docs[id_col].cast("long").eqNullSafe(F.col(mark)), "left_anti")
+    repeated = linked.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    return own if repeated.isEmpty() else own.dropDuplicates([id_col])
