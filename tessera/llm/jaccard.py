@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import claim, discard, free_name, materialize, mix64, small_batches, word_hashes
 
@@ -326,8 +327,8 @@ def _verify(percent: int, words: int):
     return run
 
 
-def link_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document."""
+def _link_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, node (the set), root (its component) and component_id of every row; the last three are null without an id or set."""
     small_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     known = materialize(texts.mapInArrow(lambda batches: _members(batches, words), "doc_id long, n_shingles long, node long"), "nodes")
@@ -354,17 +355,49 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     named = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "root").select("node", "component_id")
-    return known.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    final = named.join(least, "root").select("node", "root", "component_id")
+    return known.join(final, "node", "left")
+
+
+def link_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id reachable by links) of every document."""
+    linked = _link_sets(docs, percent, words, id_col, text_col)
+    return linked.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _with_nodes(docs: DataFrame, name: str, words: int, text_col: str) -> DataFrame:
+    """docs with each row's set as a further column; null for the empty set."""
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches):
+        claim()
+        for batch in batches:
+            sets = (shingles(x, words) for x in batch.column(at).to_pylist())
+            nodes = pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that with the smallest id, with its own columns."""
-    linked = materialize(link_documents(docs, percent, words, id_col, text_col).select("doc_id", "component_id"), "linked")
-    mark = free_name(docs, "dropped_id")
+    """One document of each component: that with the smallest id (of its texts in the component, the one whose set has the smallest
+    name; of rows that repeat id and set, any one), with its own columns. Rows without an id or with the empty set all stay."""
+    linked = materialize(_link_sets(docs, percent, words, id_col, text_col).filter("node IS NOT NULL").select("doc_id", "node", "root", "component_id"), "linked")
+    node, own_id, own_node = (free_name(docs, x) for x in ("set_node", "own_id", "own_node"))
+    ids = [F.col("doc_id").alias(own_id), F.col("node").alias(own_node)]
+    # An id may stand on texts of several components, so a row is named by its id and its set.
+    first = linked.filter("doc_id = component_id")
+    ties = first.groupBy("root").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
     # Those that go are fewer than those that stay.
-    dropped = linked.filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias(mark)).distinct()
-    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    own = docs.join(side, docs[id_col].cast("long").eqNullSafe(F.col(mark)), "left_anti")
-    repeated = linked.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    return own if repeated.isEmpty() else own.dropDuplicates([id_col])
+    later = linked.filter("doc_id != component_id").select(*ids).unionByName(first.join(ties, "root").filter("node != least").select(*ids))
+    dropped = materialize(later.distinct(), "dropped")
+
+    def join(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+        return rows.join(side, (rows[id_col].cast("long") == F.col(own_id)) & (rows[node] == F.col(own_node)), how)
+
+    own = join(_with_nodes(docs, node, words, text_col), dropped, "left_anti")
+    repeated = first.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(*ids)
+    if not repeated.isEmpty():
+        own = join(own, repeated, "left_anti").unionByName(join(own, repeated, "left_semi").dropDuplicates([id_col, node]))
+    return own.drop(node)

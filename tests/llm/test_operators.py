@@ -458,6 +458,19 @@ def test_join_odd(odd, empty):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8] and kept.columns == odd.columns
 
 
+def test_keep_first_decides_by_row(spark, monkeypatch):
+    """Null ids, and ids that stand on several texts, lose no clean row."""
+    a, b, c = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
+    rows = [(None, a), (None, a), (None, None), (1, a), (1, a), (1, b), (2, a + "x"), (2, c), (3, b), (4, ""), (4, ""), (5, "one two"), (5, "one two")]
+    want = [(None, a), (None, a), (None, None), (1, a), (1, b), (2, c), (4, ""), (4, ""), (5, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (jaccard.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+        assert sorted(map(repr, map(tuple, jaccard.keep_first(df).collect()))) == sorted(map(repr, want))
+    near = jaccard.keep_first(spark.createDataFrame([(1, a), (1, a + "x"), (0, b), (2, b + "x")], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in near.collect()) == [0, 1]
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(8)
     for n in (1, 7, 30, 200, 1500):
