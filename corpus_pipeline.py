@@ -10,24 +10,16 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, mixing, pii, toxicity
-from tessera.llm.common import crc_mod, free_name, materialize, shared_dir
-
-#: Up to so many rejected ids (16 bytes each) are broadcast; beyond, the anti-join shuffles.
-BROADCAST_IDS = 500_000
+from tessera.llm.common import crc_mod, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It is fitted on the labels that op8 may use, with the texts of this stage's input."""
+    """Documents that the classifier accepts, each row by its own text. It is fitted on the labels that op8 may use, with the texts of this stage's input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 3) != 1))
-    mark = free_name(docs, "toxic_id")
-    scores = toxicity.score_documents(docs, model).filter("predicted = 1").select(F.col("doc_id").alias(mark)).distinct()
-    bad = materialize(scores, "toxic")
-    side = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
-    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col(mark)), "left_anti")
+    return toxicity.accept_documents(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,3 +241,16 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def accept_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose own text scores below THRESHOLD."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(x) < THRESHOLD for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -2,7 +2,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, pii
+from tessera.llm import jaccard, pii, toxicity
 from tessera.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -23,6 +23,20 @@ def test_stages(spark, sf):
     assert encoded.count() == mixed.count() and encoded.filter("n_tokens != size(ids)").count() == 0
 
 
+def test_toxic_rows_take_no_clean_ones(spark, sf, monkeypatch):
+    """Rows go by their own scores, on null and repeated ids too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    monkeypatch.setattr(toxicity, "fit", lambda *_: model)
+    texts = [r.text for r in docs.select("text").collect()]
+    bad = next(x for x in texts if model.score(x) >= toxicity.THRESHOLD)
+    good = [x for x in texts if model.score(x) < toxicity.THRESHOLD][:3]
+    rows = [(None, bad), (None, good[0]), (7, bad), (7, good[1]), (None, good[2]), (8, None)]
+    want = [r for r in rows if model.score(r[1]) < toxicity.THRESHOLD]
+    got = corpus_pipeline.drop_toxic(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert len(want) >= 3 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
