@@ -9,7 +9,10 @@ for the next place where a valid member or version line stands, recovers the rec
 and logs the bytes between as quarantined.
 
 Cases: a null page is an empty payload. Null URLs become ``urn:none``. Rows that repeat the smallest page id of a payload are
-all responses. An empty table gives no files and no records. Further columns are ignored.
+all responses. A page without an id has the record id ``urn:page:none``, read back as null; it is a revisit if a page with an id has its
+payload, else a response (SQL's ``page_id = first`` calls that a revisit of nothing, but its bytes would be stored nowhere). A page id on
+several payloads gives a record for each, a revisit only where that payload's first page is another. An empty table gives no
+files and no records. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +43,14 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def build_record(page_id: int, url: str | None, payload: bytes, first: int | None) -> bytes:
+def build_record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> bytes:
     """A response record, or a revisit record without the payload where first is given."""
     digest = sha1_base32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if first is not None else http + payload
     target = (url or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
     fields = [
-        ("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", DATE),
+        ("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{'none' if page_id is None else page_id}>"), ("WARC-Date", DATE),
         ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
         ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response"),
     ]
@@ -148,14 +151,16 @@ def _next_start(data: bytes, at: int) -> int:
 
 def mark_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url") -> DataFrame:
     """page_id, url, payload and first (the page a record revisits, else null). Only ids and digests are shuffled to find
-    the first pages; one more shuffle by page id joins them with the payloads."""
+    the first pages; one more shuffle by page id and digest joins them with the payloads."""
     payload = F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b""))
     url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
-    keys = rows.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("n")).filter(F.col("n") >= least)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    keys = rows.select("page_id", "digest", F.length("payload").alias("n")).filter(F.col("n") >= least)
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages")).filter("pages > 1")
-    later = keys.join(firsts.select("digest", "first"), "digest").filter("page_id != first").groupBy("page_id").agg(F.min("first").alias("first"))
-    return rows.join(later, "page_id", "left")
+    later = keys.join(firsts.select("digest", "first"), "digest").filter("first IS NOT NULL AND NOT page_id <=> first")
+    later = later.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
+    marked = rows.join(later, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return marked.select("page_id", "url", "payload", "first")
 
 
 _FILES = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
@@ -193,7 +198,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         if parts:
             yield flush()
 
-    rows = records.select("page_id", "url", "payload", "first").filter("page_id IS NOT NULL")
+    rows = records.select("page_id", "url", "payload", "first")
     return materialize(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-files")
 
 

@@ -237,6 +237,19 @@ def test_warc(spark, sf, tmp_path):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_odd_ids(spark):
+    """Pages without an id are written too, and a repeated id marks only the payload that an earlier page has."""
+    rows = [(1, "a"), (2, "a"), (2, "only here"), (None, "a"), (None, "b"), (None, "b"), (3, None), (None, None), (4, "d"), (4, "d")]
+    df = spark.createDataFrame([(k, "u", x) for k, x in rows], "page_id long, url string, html string")
+    marked = warc.mark_revisits(df)
+    want = {(1, "a"): None, (2, "a"): 1, (2, "only here"): None, (None, "a"): 1, (None, "b"): None, (3, ""): None, (None, ""): 3, (4, "d"): None}
+    expect = sorted(repr((k, x or "", want[k, x or ""])) for k, x in rows)
+    assert sorted(repr((r.page_id, bytes(r.payload).decode(), r.first)) for r in marked.collect()) == expect
+    got = warc.archive_pages(df).collect()
+    wanted = sorted(repr((k, warc.sha1_base32((x or "").encode()), "revisit" if (f := want[k, x or ""]) else "response", f)) for k, x in rows)
+    assert sorted(repr((r.page_id, r.payload_digest, r.record_type, r.refers_to)) for r in got) == wanted
+
+
 def test_salvage():
     records = [warc.build_record(i, f"http://x/{i}", f"payload {i} ".encode() * 50, None) for i in range(6)]
     parts = [warc.gzip_member(x) for x in records]
