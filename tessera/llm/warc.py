@@ -74,7 +74,7 @@ def parse_record(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, in
     """The header, the block and the end of the record that starts at a place; raises Damaged."""
     if data[start : start + len(_VERSION)] != _VERSION:
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", start, start + (1 << 16))
+    end = data.find(b"\r\n\r\n", start)
     if end < 0:
         raise Damaged("no end of the header")
     header = {}

@@ -250,6 +250,14 @@ def test_warc_odd_ids(spark):
     assert sorted(repr((r.page_id, r.payload_digest, r.record_type, r.refers_to)) for r in got) == wanted
 
 
+def test_warc_long_url(spark):
+    rows = [(1, "http://x/?q=" + "a" * 100_000, "one"), (2, "data:text/html," + "é" * 100_000, "two"), (3, "http://x", "three")]
+    assert sorted(r.page_id for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == [1, 2, 3]
+    for k, url, html in rows:
+        (found,) = warc.salvage(warc.gzip_member(warc.build_record(k, url, html.encode(), None)))
+        assert found[0] == "record" and found[3]["warc-target-uri"] == url
+
+
 def test_salvage():
     records = [warc.build_record(i, f"http://x/{i}", f"payload {i} ".encode() * 50, None) for i in range(6)]
     parts = [warc.gzip_member(x) for x in records]
