@@ -6,7 +6,8 @@ a repeated task leaves nothing double. Records with a payload that an earlier pa
 
 The salvage reader checks every member (CRC, header, length, digest). After a failed check it looks
 for the next place where a valid member or version line stands, recovers the records from there on,
-and logs the bytes between as quarantined.
+and logs the bytes between as quarantined. Within a member of several records it does the same; of a member that is cut short or
+corrupt it takes what can be inflated.
 
 Cases: a null page is an empty payload. Null URLs become ``urn:none``. Rows that repeat the smallest page id of a payload are
 all responses. A page without an id has the record id ``urn:page:none``, read back as null; it is a revisit if a page with an id has its
@@ -37,6 +38,7 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The base-32 alphabet (fixed value).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
+CUT = "gzip: the member is cut short"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -96,56 +98,104 @@ def parse_record(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, in
     return header, block, at + int(length) + 4
 
 
-def _member(data: bytes, start: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the gzip member or plain record at a place, and its end; raises Damaged."""
-    if data[start : start + 3] != _MAGIC:
-        header, block, end = parse_record(data, start)
-        return [(header, block)], end
-    unpack = zlib.decompressobj(31)
-    out, at = io.BytesIO(), start
+def _inflate(data: bytes, start: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at a place, where it ends, and what is wrong with it, if anything: then the content is what
+    comes before the damage."""
+    unpack, out, at = zlib.decompressobj(31), io.BytesIO(), start
     try:
         while not unpack.eof and at < len(data):
             out.write(unpack.decompress(data[at : at + (1 << 16)]))
             at = min(at + (1 << 16), len(data))
     except zlib.error as error:
-        raise Damaged(f"gzip: {error}") from None
+        # The failed call's bytes are lost; once more, byte by byte from there.
+        again, trouble = zlib.decompressobj(31), f"gzip: {error}"
+        again.decompress(data[start:at])
+        try:
+            for at in range(at, min(at + (1 << 16), len(data))):
+                out.write(again.decompress(data[at : at + 1]))
+        except zlib.error:
+            pass
+        return out.getvalue(), at, trouble
     if not unpack.eof:
-        raise Damaged("gzip: the member is cut short")
-    end = at - len(unpack.unused_data)
-    plain, records, at = out.getvalue(), [], 0
-    while at < len(plain):
-        header, block, at = parse_record(plain, at)
-        records.append((header, block))
-    return records, end
+        return out.getvalue(), at, CUT
+    return out.getvalue(), at - len(unpack.unused_data), None
 
 
-def salvage(data: bytes):
-    """Yield ('record', offset, length, header, block) and ('gap', offset, length, reason, None) over a file's bytes."""
-    at = 0
-    while at < len(data):
+def _records(plain: bytes):
+    """Yield ('record', start, end, header, block) and ('gap', start, end, reason, None) over a member's content."""
+    at, begin, reason = 0, None, None
+    while at < len(plain):
         try:
-            records, end = _member(data, at)
+            header, block, end = parse_record(plain, at)
         except Damaged as error:
-            reason, begin = str(error), at
-            while True:
-                at = _next_start(data, at + 1)
-                if at >= len(data):
-                    break
-                try:
-                    _member(data, at)
-                    break
-                except Damaged:
-                    continue
-            yield "gap", begin, at - begin, reason, None
+            if begin is None:
+                begin, reason = at, str(error)
+            found = plain.find(_VERSION, at + 1)
+            at = found if found >= 0 else len(plain)
             continue
-        for header, block in records:
-            yield "record", at, end - at, header, block
+        if begin is not None:
+            yield "gap", begin, at, reason, None
+            begin = None
+        yield "record", at, end, header, block
         at = end
+    if begin is not None:
+        yield "gap", begin, len(plain), reason, None
+
+
+def _member(data: bytes, start: int) -> tuple[list[tuple], int, str | None]:
+    """Of the gzip member or plain record at a place what salvage() yields, where it ends, and what is wrong with the member; raises
+    Damaged if nothing can be had of it."""
+    if data[start : start + 3] != _MAGIC:
+        header, block, end = parse_record(data, start)
+        return [("record", start, end - start, header, block)], end, None
+    plain, end, trouble = _inflate(data, start)
+    found = list(_records(plain))
+    if trouble is None:
+        within = lambda x: x[3] if x[1:3] == (0, len(plain)) else f"{x[3]} (bytes {x[1]} to {x[2]} of the member's content)"
+        return [(x[0], start, end - start, within(x) if x[0] == "gap" else x[3], x[4]) for x in found], end, None
+    # Without the member's CRC only a digest shows that a block is whole; what comes before a cut has not been touched.
+    good = [x for x in found if x[0] == "record" and (trouble == CUT or x[3].get("warc-block-digest", "").startswith("sha1:"))]
+    if not good:
+        raise Damaged(trouble)
+    lost, at = [], 0
+    for x in [*good, ("end", len(plain), len(plain))]:
+        if x[1] > at:
+            lost.append(f"{at} to {x[1]}")
+        at = x[2]
+    note = f"{trouble}; of its content {len(good)} records are recovered" + (f", lost are bytes {', '.join(lost)}" if lost else "")
+    return [("record", start, end - start, header, block) for _, _, _, header, block in good], end, note
 
 
-def _next_start(data: bytes, at: int) -> int:
-    """The next place where a gzip member or a version line may begin."""
-    found = [x for x in (data.find(_MAGIC, at), data.find(_VERSION, at)) if x >= 0]
+def salvage(data: bytes):
+    """Yield ('record', offset, length, header, block) and ('gap', offset, length, reason, None) over a file's bytes. A record in a gzip
+    member has the member's offset and length, and so has a gap between the records of a sound member. A damaged member gives the
+    records before its damage, then a gap from its start on."""
+    at, begin, reason = 0, None, None
+    while at < len(data):
+        try:
+            found, end, trouble = _member(data, at)
+        except Damaged as error:
+            if begin is None:
+                begin, reason = at, str(error)
+            at = _next_start(data, at + 1, at + 1)
+            continue
+        if begin is not None:
+            yield "gap", begin, at - begin, reason, None
+            begin = None
+        yield from found
+        if trouble is None:
+            at = end
+        else:
+            # A version line in what was inflated is a stored block's, whose records have been had.
+            begin, reason = at, trouble
+            at = _next_start(data, at + 1, end)
+    if begin is not None:
+        yield "gap", begin, len(data) - begin, reason, None
+
+
+def _next_start(data: bytes, at: int, plain: int) -> int:
+    """The next place where a gzip member (from at on) or a version line (from plain on) may begin."""
+    found = [x for x in (data.find(_MAGIC, at), data.find(_VERSION, plain)) if x >= 0]
     return min(found, default=len(data))
 
 

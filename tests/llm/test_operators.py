@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -273,6 +274,37 @@ def test_salvage():
     assert [f[0] for f in warc.salvage(wrong + records[1])] == ["gap", "record"]
 
 
+def test_salvage_within_members():
+    """Of a member with many records, one damaged record or a damaged end loses no other record."""
+    rng = random.Random(5)
+    records = [warc.build_record(i, f"http://x/{i}", rng.randbytes(3_000), None) for i in range(60)]
+    wrong = bytearray(records[2])
+    wrong[-40] ^= 1
+    ids = lambda data: [int(f[3]["warc-record-id"][10:-1]) for f in warc.salvage(data) if f[0] == "record"]
+    gaps = lambda data: [f[1:4] for f in warc.salvage(data) if f[0] == "gap"]
+    single = warc.gzip_member(records[0])
+    one = warc.gzip_member(b"".join([*records[:2], bytes(wrong), *records[3:6]]))
+    assert ids(one + single) == [0, 1, 3, 4, 5, 0] and len(gaps(one)) == 1 and gaps(one)[0][:2] == (0, len(one))
+    start = len(records[0] + records[1])
+    assert f"bytes {start} to {start + len(wrong)}" in gaps(one)[0][2]
+    whole = warc.gzip_member(b"".join(records))
+    cut = whole[: len(whole) // 2]
+    assert ids(cut) == list(range(len(ids(cut)))) and 25 <= len(ids(cut)) < 32 and gaps(cut)[0][:2] == (0, len(cut))
+    crc = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert ids(crc + single) == [*range(60), 0] and gaps(crc + single)[0][:2] == (0, len(crc))
+    for place in (20_000, 100_000):
+        broken = whole[:place] + b"\xff" * 200 + whole[place + 200 :]
+        assert set(range(place // 3_600)) <= set(ids(broken + single)) and ids(broken + single)[-1] == 0 and gaps(broken)
+    # Stored blocks show their version lines in the file too: no record comes twice.
+    press = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = press.compress(b"".join(records[:9])) + press.flush()
+    assert ids(stored[:-5]) == list(range(9)) and ids(stored[:-8] + b"\0" * 8 + single) == [*range(9), 0]
+    # Without a digest or the member's CRC nothing shows that a block is whole, but before a cut it is.
+    bare = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", b"".join(records[:9]))
+    press = warc.gzip_member(bare)
+    assert ids(press) == list(range(9)) and ids(press[:-4]) == list(range(9)) and ids(press[:-8] + b"\0" * 8) == []
+
+
 # Quality
 
 
