@@ -1,5 +1,6 @@
 """Every query of the catalogue against its SQL, on the smallest tables."""
 
+import hashlib
 import math
 
 import duckdb
@@ -50,5 +51,16 @@ def test_query(spark, sf, duck, name):
         assert len(got) > 0
 
 
+def test_strip_urls_gives_every_page(spark, tmp_path):
+    """Pages with data URLs or the word, and null pages, which the SQL leaves out."""
+    pages = {
+        1: ("a ![x](data:image/png;base64,AAAA) b", "a  b"), 2: ('<img src="DATA:image/gif;base64,R0lG==">', '<img src="">'), 3: ("Data: none", "Data: none"),
+        4: ("x data:text/plain,hi y", "x  y"), 5: (None, None), 6: ("see https://a.b/c now", "see  now"), 7: ("data:nothing/else,z", "data:nothing/else,z"),
+    }
+    spark.createDataFrame([(k, "u", v[0]) for k, v in pages.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.digest for r in QUERIES["strip_urls"](spark, str(tmp_path)).collect()}
+    assert got == {k: v[1] if v[1] is None else hashlib.md5(v[1].encode()).hexdigest() for k, v in pages.items()}
+
+
 def test_names():
     assert set(ORACLE) <= set(QUERIES)
