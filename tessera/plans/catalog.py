@@ -789,13 +789,19 @@ def related_section(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(udfs.insert_related_link_col("text", F.lit("## Related"), F.lit("[[x]]"))).alias("digest"))
 
 
+def _results(spark, sf) -> DataFrame:
+    """The notes nearest to the anchor among all, as many as a table of contents may have, with their vectors."""
+    notes = adapters.vectors(spark, sf)
+    best = related.cosine_ranked(notes, _anchor(spark, sf), 0.0).filter("cos_rank <= 100")
+    return best.select("path", "title", "tier", "score").join(notes.select("path", "vec"), "path")
+
+
 @query()
 def hdbscan_topics(spark, sf):
-    rows = adapters.vectors(spark, sf).filter("vec_id < 100").select("path", "title", "tier", "vec", (F.lit(1.0) / (F.col("vec_id") + 1)).alias("score"))
+    rows = _results(spark, sf).select("path", "title", "tier", "vec", "score")
     return cluster.grouped_contents(cluster.cluster_vectors(rows))
 
 
 @query()
 def flat_contents(spark, sf):
-    rows = adapters.vectors(spark, sf).filter("vec_id < 100").select("path", "tier", (F.lit(1.0) / (F.col("vec_id") + 1)).alias("score"))
-    return cluster.flat_contents(rows)
+    return cluster.flat_contents(_results(spark, sf).select("path", "tier", "score"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -62,5 +63,18 @@ def test_strip_urls_gives_every_page(spark, tmp_path):
     assert got == {k: v[1] if v[1] is None else hashlib.md5(v[1].encode()).hexdigest() for k, v in pages.items()}
 
 
+def test_contents_list_the_nearest_notes(spark, tmp_path):
+    """Of 260 notes the 100 nearest to the anchor, whatever their ids are."""
+    rows = [(i, i % 3, [math.cos(i / 400), math.sin(i / 400)] if i == 0 else [math.cos((261 - i) / 400), math.sin((261 - i) / 400)]) for i in range(261)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = [f"l{i % 3}/{i:06d}" for i in range(260, 160, -1)]
+    markdown = QUERIES["flat_contents"](spark, str(tmp_path)).first().markdown
+    hot, _, cold = markdown.partition("## Cold")
+    listed = lambda part: re.findall(r"\[\[([^\]|]*)", part)
+    assert (listed(hot), listed(cold)) == (want[1::2], want[::2])
+    sections = QUERIES["hdbscan_topics"](spark, str(tmp_path)).collect()
+    assert sum(r.notes for r in sections) == 100 and sorted(x for r in sections for x in listed(r.lines)) == sorted(want)
+
+
 def test_names():
     assert set(ORACLE) <= set(QUERIES)
