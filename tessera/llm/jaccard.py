@@ -6,7 +6,8 @@ lanes that differ is a lower bound of the symmetric difference. Sets that link d
 d = floor(2 (1 - t) / (1 + t) * size) members, t the similarity and size the larger set's. A size band has
 g > d lanes, so at least g - d lanes of linked sets agree (pigeonhole): lanes are join keys.
 
-A band is ``RATIO`` wide; a set near a band's upper end has a sketch for the next band too. Empty lanes are no keys
+A band is ``RATIO`` wide; a set has a sketch for each further band that a partner may be in (from a similarity of 72 % on that is
+the next at most, for sets near a band's upper end). Empty lanes are no keys
 (unless a set has so few filled lanes that the count needs them). Sets with at most ``slack`` keys among the crowded
 ones (shared by more than ``CROWD`` different sets) drop those: linked sets agree in more than slack lanes, so one that is
 not crowded, or crowded on both sides, remains.
@@ -83,11 +84,14 @@ def _band(number: int, percent: int) -> tuple[int, int, int, int, int]:
 
 
 def bands_of(size: int, percent: int = PERCENT) -> list[int]:
-    """The bands in which a set of this size meets others: its own, and the next if a larger partner may be there."""
+    """The bands in which a set of this size meets others: its own, and each next one as long as a larger partner may be there."""
     number = 0
     while _band(number, percent)[1] <= size:
         number += 1
-    return [number, number + 1] if 100 * size >= percent * _band(number, percent)[1] else [number]
+    out = [number]
+    while 100 * size >= percent * _band(out[-1], percent)[1]:
+        out.append(out[-1] + 1)
+    return out
 
 
 def lanes(members: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:

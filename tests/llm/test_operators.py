@@ -493,6 +493,19 @@ def test_join(spark, percent, words):
     assert got == brute_components([(k, t or "") for k, t in rows], percent, words)
 
 
+@pytest.mark.parametrize("percent", [50, 30])
+def test_join_of_sizes_far_apart(spark, percent):
+    """Below 72 % a partner may be several bands larger."""
+    rnd = random.Random(percent)
+    rows = []
+    for n in (1, 2, 5, 9, 20, 41, 90, 300, 700):
+        base = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n * 100 // percent + 3)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: n + 3])), (len(rows) + 2, " ".join(base[: max(1, n // 2)]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert got == brute_components(rows, percent)
+    assert all(got[k][1] == k - 1 for k in range(1, len(rows), 3))
+
+
 def test_join_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
