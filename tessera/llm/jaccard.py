@@ -13,9 +13,12 @@ ones (shared by more than ``CROWD`` different sets) drop those: linked sets agre
 not crowded, or crowded on both sides, remains.
 
 A key of few sets gives their pairs, which must share as many keys as linked sets do, less those that may be crowded; a crowded
-key leads its sets to one of them. Components of these candidate links are clusters. Within a cluster
-all pairs are compared in blocks of bounded size: first the Hamming distance of their bit sketches, then, where that
-leaves a link possible and the two aren't linked through others yet, the sets themselves. Equal sets are one from the start.
+key is a star, which leads its sets to the first of them. All these candidate links are verified set by set: a star's texts come to it in
+chunks of ``LEAVES``, each with the first one's text. Linked sets that share a key that isn't crowded are found by then. Others share a star:
+where the sets of a star are still in several components, those outside its largest one are compared with all of it, in blocks of bounded
+size: first the Hamming distance of their bit sketches, then, where that leaves a link possible and the two aren't linked through others
+yet, the sets themselves. Equal sets are one from the start. No row of a component, star or set needs to meet all others of it in a task: joins on these
+keys are spread over ``SPREAD`` parts.
 
 Cases: null texts, and texts without words, have the empty set and link with nothing. Texts of fewer words than a shingle has are one
 shingle. Repeated rows and equal texts link. Rows without an id link with nothing and have no component. An empty
@@ -40,10 +43,16 @@ WORDS = 4
 PERCENT = 85
 RATIO = 1.4
 CROWD = 6
-#: Sets that a task holds twice at most: so many, or so many bytes.
-BLOCK, BLOCK_BYTES = 6_000, 24 << 20
-#: Up to so many rows of 40 bytes are broadcast to pick the texts of clusters; beyond, the join shuffles.
+#: Sets that are compared with a star's first one in one group.
+LEAVES = 256
+#: Sets of a block, of which a task holds two: so many, or so many bytes.
+BLOCK, BLOCK_BYTES = 1_000, 8 << 20
+#: Up to so many rows of 40 bytes are broadcast to pick texts; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Parts that the rows of one key are spread over in joins.
+SPREAD = 16
+#: Sets that a task remembers, so as not to work on repeats again.
+SEEN = 100_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -119,7 +128,15 @@ def lane_keys(members: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+
+
+def _join_spread(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row for each key: rows of one key are spread by a further column, so that they aren't all in one task."""
+    spread = rows.withColumn("spread", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    keys = spread.select(key, "spread").distinct().join(side, key)
+    return spread.join(keys, [key, "spread"], how).drop("spread")
 
 
 def _members(batches, words: int):
@@ -130,8 +147,9 @@ def _members(batches, words: int):
             [
                 batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
                 pa.array([node_of(x) if len(x) and i is not None else None for i, x in zip(batch.column(0).to_pylist(), sets, strict=True)], pa.int64()),
+                batch.column(2),
             ],
-            names=["doc_id", "n_shingles", "node"],
+            names=["doc_id", "n_shingles", "node", "digest"],
         )
 
 
@@ -141,13 +159,15 @@ _KEYED = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("slack", pa.int3
 def _keyed(percent: int, words: int):
     def run(batches):
         claim()
-        seen = set()  # sets of this task, at 100 bytes each
+        seen = set()
         for batch in batches:
             keys, nodes, slacks = [], [], []
             for text in batch.column(0).to_pylist():
                 members = shingles(text, words)
                 if not len(members) or (node := node_of(members)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(node)
                 for slack, own in lane_keys(members, percent):
                     keys.append(own)
@@ -225,7 +245,7 @@ def _stars(batches):
 
 
 def candidate_links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(u, v): links whose components hold every pair of sets that may link. One shuffle of the lane keys."""
+    """(u, v, crowded): links among which, or among whose stars (v, where crowded), every pair of sets is that may link. One shuffle of the lane keys."""
     keyed = _texts(docs, id_col, text_col).filter("doc_id IS NOT NULL").select("text").mapInArrow(_keyed(percent, words), "key long, node long, slack int")
     stars = materialize(
         keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "node long, other long, slack int, crowded boolean")
@@ -238,7 +258,19 @@ def candidate_links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     plain = plain.join(busy.select(F.col("node").alias("other"), "slack", F.col("crowds").alias("b")), ["other", "slack"], "left")
     plain = plain.filter(F.col("keys") + F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))) > F.col("slack"))
     crowded = stars.filter("crowded AND node != other").join(busy.filter("crowds > slack").select("node", "slack"), ["node", "slack"], "left_semi")
-    return plain.select("node", "other").unionByName(crowded.select("node", "other")).distinct().select(F.col("node").alias("u"), F.col("other").alias("v"))
+    both = plain.select("node", "other", "crowded").unionByName(crowded.select("node", "other", "crowded"))
+    out = materialize(both.groupBy(F.col("node").alias("u"), F.col("other").alias("v")).agg(F.max("crowded").alias("crowded")), "candidates")
+    discard(stars)
+    discard(busy)
+    return out
+
+
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m) of pairs (u, v): m is the least v of each u. The pairs of one u are spread by v."""
+    spread = pairs.withColumn("spread", F.pmod(F.xxhash64("v"), F.lit(SPREAD))).repartition("u", "spread")
+    part = spread.groupBy("u", "spread").agg(F.min("v").alias("m"))
+    least = part.groupBy("u").agg(F.min("m").alias("m"))
+    return spread.join(part.select("u", "spread").join(least, "u"), ["u", "spread"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -250,20 +282,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        if tuple(seen) == mark or not seen[0]:
             break
         mark = tuple(seen)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        led = _with_least(large)
+        small = led.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        nxt = materialize(small.distinct(), "edges")
         discard(now)
         now = nxt
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    discard(now)
+    return out
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets are similar enough."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 class Linker:
@@ -272,12 +313,13 @@ class Linker:
     def __init__(self, percent: int):
         self.percent = percent
 
-    def links(self, sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
+    def links(self, sets: list[np.ndarray], side: np.ndarray, cross: bool, known: np.ndarray) -> list[tuple[int, int]]:
+        """known are the components so far; with cross, only sets of different sides are compared."""
         n = len(sets)
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
         bits = 64 * max(1, -(-2 * int(sizes.mean()) // 64))  # of larger sets the bound is weaker
         packed = np.stack([np.packbits(np.bincount((x % np.uint64(bits)).astype(np.int64), minlength=bits) & 1) for x in sets]).view(np.uint64)
-        root = np.arange(n)
+        root = np.unique(known, return_inverse=True)[1]
         out = []
         for i in range(n - 1):
             rest = np.arange(i + 1, n)
@@ -291,10 +333,7 @@ class Linker:
             far = np.bitwise_count(packed[rest] ^ packed[i]).sum(axis=1, dtype=np.int64)
             rest = rest[(100 + self.percent) * far <= (100 - self.percent) * (sizes[rest] + sizes[i])]
             for j in rest:
-                if root[j] == root[i]:
-                    continue
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * shared >= self.percent * (sizes[i] + sizes[j] - shared):
+                if root[j] != root[i] and linked(sets[i], sets[j], self.percent):
                     root[root == root[j]] = root[i]
                     out.append((i, int(j)))
         return out
@@ -303,64 +342,156 @@ class Linker:
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _verify(percent: int, words: int):
+def _link_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], schema=_LINKS)
+
+
+def _check_stars(percent: int, words: int):
+    """Rows sorted by (hub, chunk, side, node, text), the hub's own first. What is held is the hub's set."""
+
+    def run(batches):
+        claim()
+        key = head = last = None
+        for batch in batches:
+            found = []
+            for hub, chunk, side, node, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (hub, chunk) != key:
+                    key, head, last = (hub, chunk), None, None
+                if side == 0:
+                    head = shingles(text, words) if head is None else head
+                elif node != last:
+                    last = node
+                    if linked(head, shingles(text, words), percent):
+                        found.append((node, hub))
+            yield _link_batch(found)
+
+    return run
+
+
+def _check_blocks(percent: int, words: int):
     linker = Linker(percent)
 
-    def settle(key, rows):
+    def settle(rows, cross):
         if len(rows) < 2:
-            return None
-        nodes, sides, sets = zip(*rows, strict=True)
-        pairs = linker.links(list(sets), np.array(sides), key[1] != key[2])
-        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], schema=_LINKS)
+            return []
+        nodes, sides, roots, sets = zip(*rows, strict=True)
+        pairs = linker.links(list(sets), np.array(sides), cross, np.array(roots))
+        return [(nodes[i], nodes[j]) for i, j in pairs]
 
     def run(batches):
         claim()
         key, rows = None, []
         for batch in batches:
-            for *now, node, side, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            found = []
+            for *now, side, node, root, text in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if now != key:
-                    if rows and (done := settle(key, rows)) is not None:
-                        yield done
+                    found += settle(rows, key and (key[1] or key[2] != key[3]))
                     key, rows = now, []
-                members = shingles(text, words)
-                if node_of(members) == node:  # else it is another text of the same id
-                    rows.append((node, side, members))
-        if rows and (done := settle(key, rows)) is not None:
-            yield done
+                if not rows or rows[-1][0] != node:
+                    rows.append((node, side, root, shingles(text, words)))
+            yield _link_batch(found)
+        yield _link_batch(settle(rows, key and (key[1] or key[2] != key[3])))
 
     return run
 
 
+def _bodies(texts: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(node, n, text) of the sets that may link: one text each (repeats may remain)."""
+    wanted = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
+    firsts = known.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.max("n_shingles").alias("n"))
+    pick = materialize(firsts.join(wanted, "node").select("node", "n", "first.doc_id", "first.digest"), "wanted")
+    side = F.broadcast(pick) if pick.count() <= BROADCAST_ROWS else pick
+    chosen = texts.filter("doc_id IS NOT NULL").join(side, ["doc_id", "digest"]).select("node", "n", "text")
+
+    def once(batches):
+        claim()
+        seen = set()
+        for batch in batches:
+            nodes, keep = batch.column(0).to_pylist(), []
+            for node in nodes:
+                keep.append(node not in seen)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    out = materialize(chosen.mapInArrow(once, "node long, n long, text string"), "bodies")
+    discard(pick)
+    return out
+
+
+def _star_links(candidates: DataFrame, bodies: DataFrame, percent: int, words: int) -> DataFrame:
+    """(u, v): the candidate links that hold."""
+    chunks = candidates.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / LEAVES).alias("chunks"))
+    dealt = _join_spread(candidates.select("u", "v"), chunks, "v", "u").withColumn("chunk", F.pmod(F.xxhash64("u", F.lit(1)), F.col("chunks")))
+    text = F.col("text")
+    leaves = dealt.join(bodies, dealt.u == bodies.node).select(F.col("v").alias("hub"), "chunk", F.lit(1).alias("side"), "node", text)
+    heads = chunks.join(bodies, chunks.v == bodies.node).select(
+        F.col("v").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "node", text
+    )
+    both = heads.unionByName(leaves).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "side", "node")
+    return both.mapInArrow(_check_stars(percent, words), "u long, v long")
+
+
+def _rest_links(candidates: DataFrame, roots: DataFrame, bodies: DataFrame, percent: int, words: int) -> DataFrame | None:
+    """(u, v): links within stars whose sets are in several components still; None if there is no such star."""
+    stars = candidates.filter("crowded").select(F.col("v").alias("star"), F.col("u").alias("node"))
+    members = stars.unionByName(stars.select("star", F.col("star").alias("node")).distinct())
+    members = _join_spread(members, roots, "node", "star", "left").select("star", "node", F.coalesce("root", "node").alias("root"))
+    sizes = bodies.groupBy("node").agg(F.max("n").alias("n"))
+    parts = materialize(members.join(sizes, "node"), "members")
+    by = parts.groupBy("star", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("n"))
+    total = by.groupBy("star").agg(
+        F.max_by("root", F.struct("sets", "root")).alias("most"), F.max(F.struct("sets", "root", "n")).alias("top"), F.sum("sets").alias("sets"), F.sum("n").alias("n")
+    ).filter(F.col("sets") > F.col("top.sets"))
+    if total.isEmpty():
+        discard(parts)
+        return None
+    blocks = lambda sets, n: F.ceil(F.greatest(sets / BLOCK, 8 * n / BLOCK_BYTES)).cast("int")
+    plan = total.select("star", "most", blocks(F.col("top.sets"), F.col("top.n")).alias("large"), blocks(F.col("sets") - F.col("top.sets"), F.col("n") - F.col("top.n")).alias("rest"))
+    dealt = _join_spread(parts, plan, "star", "node")
+    inside = F.col("root") == F.col("most")
+    own = F.pmod(F.xxhash64("node"), F.when(inside, F.col("large")).otherwise(F.col("rest"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda large, p, q, side: F.struct(F.lit(large).alias("large"), p.alias("p"), q.alias("q"), side.alias("side"))
+    dealt = dealt.withColumn("own", own)
+    of_large = F.transform(upto("rest"), lambda r: cell(True, r, F.col("own"), F.lit(1)))
+    of_rest = F.concat(
+        F.transform(upto("large"), lambda q: cell(True, F.col("own"), q, F.lit(0))),
+        F.transform(upto("rest"), lambda r: cell(False, F.least(r, "own"), F.greatest(r, "own"), F.col("own"))),
+    )
+    cells = dealt.select("star", "node", "root", F.explode(F.when(inside, of_large).otherwise(of_rest)).alias("cell")).select("star", "cell.*", "node", "root")
+    keys = ["star", "large", "p", "q"]
+    placed = cells.join(bodies.select("node", "text"), "node").select(*keys, "side", "node", "root", "text")
+    out = materialize(placed.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_check_blocks(percent, words), "u long, v long"), "links")
+    discard(parts)
+    return out
+
+
 def _link_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, node (the set), root (its component) and component_id of every row; the last three are null without an id or set."""
     small_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
-    known = materialize(texts.mapInArrow(lambda batches: _members(batches, words), "doc_id long, n_shingles long, node long"), "nodes")
-    clusters = materialize(components(candidate_links(docs, percent, words, id_col, text_col)), "clusters")
-    firsts = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    members = clusters.join(firsts, "node")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).cast("int")
-    sizes = members.groupBy("root").agg(blocks.alias("blocks"))
-    wanted = materialize(
-        members.join(sizes, "root")
-        .select("doc_id", "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side")),
-        "wanted",
-    )
-    pick = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    # An id may stand on several rows with different texts: the text's own set decides below.
-    chosen = texts.join(pick, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = chosen.select(
-        "root", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "node", "side", "text"
-    )
-    links = materialize(
-        dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node").mapInArrow(_verify(percent, words), "u long, v long"), "links"
-    )
+    known = materialize(texts.mapInArrow(lambda batches: _members(batches, words), "doc_id long, n_shingles long, node long, digest long"), "nodes")
+    candidates = candidate_links(docs, percent, words, id_col, text_col)
+    bodies = _bodies(texts, known, candidates)
+    links = materialize(_star_links(candidates, bodies, percent, words), "links")
     roots = components(links)
-    named = known.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
-    named = named.withColumn("root", F.coalesce("root", "node"))
+    more = _rest_links(candidates, roots, bodies, percent, words)
+    if more is not None:
+        discard(roots)
+        roots = components(links.unionByName(more))
+    for table in (candidates, bodies, links, more):
+        discard(table)
+    sets = known.filter("node IS NOT NULL").drop("digest")
+    spread = sets.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
+    part = spread.groupBy("node", "spread").agg(F.min("doc_id").alias("least"))
+    named = part.groupBy("node").agg(F.min("least").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "root").select("node", "root", "component_id")
-    return known.join(final, "node", "left")
+    final = _join_spread(named.select("node", "root"), least, "root", "node")
+    placed = spread.join(part.select("node", "spread").join(final, "node"), ["node", "spread"])
+    rest = known.filter("node IS NULL").select("doc_id", "n_shingles", "node", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("component_id"))
+    return placed.select(*rest.columns).unionByName(rest)
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,14 +517,14 @@ def _with_nodes(docs: DataFrame, name: str, words: int, text_col: str) -> DataFr
 def keep_first(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: that with the smallest id (of its texts in the component, the one whose set has the smallest
     name; of rows that repeat id and set, any one), with its own columns. Rows without an id or with the empty set all stay."""
-    linked = materialize(_link_sets(docs, percent, words, id_col, text_col).filter("node IS NOT NULL").select("doc_id", "node", "root", "component_id"), "linked")
+    linked_rows = materialize(_link_sets(docs, percent, words, id_col, text_col).filter("node IS NOT NULL").select("doc_id", "node", "root", "component_id"), "linked")
     node, own_id, own_node = (free_name(docs, x) for x in ("set_node", "own_id", "own_node"))
     ids = [F.col("doc_id").alias(own_id), F.col("node").alias(own_node)]
     # An id may stand on texts of several components, so a row is named by its id and its set.
-    first = linked.filter("doc_id = component_id")
+    first = linked_rows.filter("doc_id = component_id")
     ties = first.groupBy("root").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
     # Those that go are fewer than those that stay.
-    later = linked.filter("doc_id != component_id").select(*ids).unionByName(first.join(ties, "root").filter("node != least").select(*ids))
+    later = linked_rows.filter("doc_id != component_id").select(*ids).unionByName(first.join(ties, "root").filter("node != least").select(*ids))
     dropped = materialize(later.distinct(), "dropped")
 
     def join(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:

@@ -570,6 +570,8 @@ def test_join_of_sizes_far_apart(spark, percent):
 
 def test_join_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "LEAVES", 3)
+    monkeypatch.setattr(jaccard, "SEEN", 2)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     rows = planted(9, 6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
