@@ -13,12 +13,13 @@ ones (shared by more than ``CROWD`` different sets) drop those: linked sets agre
 not crowded, or crowded on both sides, remains.
 
 A key of few sets gives their pairs, which must share as many keys as linked sets do, less those that may be crowded; a crowded
-key is a star, which leads its sets to the first of them. All these candidate links are verified set by set: a star's texts come to it in
-chunks of ``LEAVES``, each with the first one's text. Linked sets that share a key that isn't crowded are found by then. Others share a star:
-where the sets of a star are still in several components, those outside its largest one are compared with all of it, in blocks of bounded
-size: first the Hamming distance of their bit sketches, then, where that leaves a link possible and the two aren't linked through others
-yet, the sets themselves. Equal sets are one from the start. No row of a component, star or set needs to meet all others of it in a task: joins on these
-keys are spread over ``SPREAD`` parts.
+key is a star, which leads its sets to the first of them. Components of these candidate links are clusters. The sets of a cluster of up to one
+block are compared in one place: first the Hamming distance of their bit sketches, then, where that leaves a link possible and the two
+aren't linked through others yet, the sets themselves. In larger clusters the candidate links are verified by themselves: a star's texts
+come to it in chunks of ``LEAVES``, each with the first one's text. Linked sets that share a key that isn't crowded are found by then. Others
+share a star: where the sets of a star are still in several components, those outside its largest one are compared with all of it, in blocks. Equal
+sets are one from the start. Rows of one component, star or set needn't all meet in a task: joins on these keys are spread over
+``SPREAD`` parts.
 
 Cases: null texts, and texts without words, have the empty set and link with nothing. Texts of fewer words than a shingle has are one
 shingle. Repeated rows and equal texts link. Rows without an id link with nothing and have no component. An empty
@@ -395,13 +396,15 @@ def _check_blocks(percent: int, words: int):
     return run
 
 
-def _bodies(texts: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(node, n, text) of the sets that may link: one text each (repeats may remain)."""
-    wanted = candidates.select(F.col("u").alias("node")).unionByName(candidates.select(F.col("v").alias("node"))).distinct()
+def _bodies(texts: DataFrame, known: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(node, n, root, large, text) of the sets that may link: one text each (repeats may remain), and whether their cluster is beyond one block."""
     firsts = known.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.max("n_shingles").alias("n"))
-    pick = materialize(firsts.join(wanted, "node").select("node", "n", "first.doc_id", "first.digest"), "wanted")
-    side = F.broadcast(pick) if pick.count() <= BROADCAST_ROWS else pick
-    chosen = texts.filter("doc_id IS NOT NULL").join(side, ["doc_id", "digest"]).select("node", "n", "text")
+    pick = materialize(firsts.join(clusters, "node").select("node", "n", "root", "first.doc_id", "first.digest"), "wanted")
+    large = (F.count(F.lit(1)) > BLOCK) | (8 * F.sum("n") > BLOCK_BYTES)
+    placed = _join_spread(pick, pick.groupBy("root").agg(large.alias("large")), "root", "node")
+    if pick.count() <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
+    chosen = texts.filter("doc_id IS NOT NULL").join(placed, ["doc_id", "digest"]).select("node", "n", "root", "large", "text")
 
     def once(batches):
         claim()
@@ -415,11 +418,20 @@ def _bodies(texts: DataFrame, known: DataFrame, candidates: DataFrame) -> DataFr
                 seen.add(node)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    out = materialize(chosen.mapInArrow(once, "node long, n long, text string"), "bodies")
+    out = materialize(chosen.mapInArrow(once, "node long, n long, root long, large boolean, text string"), "bodies")
     discard(pick)
     return out
 
 
+_CELL = ("star", "large", "p", "q")
+
+
+def _block_links(cells: DataFrame, percent: int, words: int) -> DataFrame:
+    """(u, v): links among the sets of each cell; cells has _CELL, side, node, root (the component so far) and text."""
+    placed = cells.select(*_CELL, "side", "node", "root", "text").repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
+    return placed.mapInArrow(_check_blocks(percent, words), "u long, v long")
+
+
 def _star_links(candidates: DataFrame, bodies: DataFrame, percent: int, words: int) -> DataFrame:
     """(u, v): the candidate links that hold."""
     chunks = candidates.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / LEAVES).alias("chunks"))
@@ -461,9 +473,7 @@ def _rest_links(candidates: DataFrame, roots: DataFrame, bodies: DataFrame, perc
         F.transform(upto("rest"), lambda r: cell(False, F.least(r, "own"), F.greatest(r, "own"), F.col("own"))),
     )
     cells = dealt.select("star", "node", "root", F.explode(F.when(inside, of_large).otherwise(of_rest)).alias("cell")).select("star", "cell.*", "node", "root")
-    keys = ["star", "large", "p", "q"]
-    placed = cells.join(bodies.select("node", "text"), "node").select(*keys, "side", "node", "root", "text")
-    out = materialize(placed.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_check_blocks(percent, words), "u long, v long"), "links")
+    out = materialize(_block_links(cells.join(bodies.select("node", "text"), "node"), percent, words), "links")
     discard(parts)
     return out
 
@@ -474,14 +484,24 @@ def _link_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
     texts = _texts(docs, id_col, text_col)
     known = materialize(texts.mapInArrow(lambda batches: _members(batches, words), "doc_id long, n_shingles long, node long, digest long"), "nodes")
     candidates = candidate_links(docs, percent, words, id_col, text_col)
-    bodies = _bodies(texts, known, candidates)
-    links = materialize(_star_links(candidates, bodies, percent, words), "links")
-    roots = components(links)
-    more = _rest_links(candidates, roots, bodies, percent, words)
-    if more is not None:
-        discard(roots)
-        roots = components(links.unionByName(more))
-    for table in (candidates, bodies, links, more):
+    clusters = components(candidates)
+    bodies = _bodies(texts, known, clusters)
+    nought = F.lit(0)
+    small = bodies.filter("NOT large").select(F.col("root").alias("star"), "large", nought.alias("p"), nought.alias("q"), nought.alias("side"), "node", F.col("node").alias("root"), "text")
+    links = materialize(_block_links(small, percent, words), "links")
+    far = bodies.filter("large")
+    if far.isEmpty():
+        roots, done = components(links), [candidates, clusters, bodies, links]
+    else:
+        inner = materialize(_join_spread(candidates, far.select(F.col("node").alias("v")).distinct(), "v", "u"), "candidates")
+        held = materialize(_star_links(inner, far, percent, words), "links")
+        roots = components(links.unionByName(held))
+        more = _rest_links(inner, roots, far, percent, words)
+        if more is not None:
+            discard(roots)
+            roots = components(links.unionByName(held).unionByName(more))
+        done = [candidates, clusters, bodies, links, inner, held, more]
+    for table in done:
         discard(table)
     sets = known.filter("node IS NOT NULL").drop("digest")
     spread = sets.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
