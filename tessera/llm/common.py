@@ -23,9 +23,12 @@ _STEP = np.uint64(0x100000001B3)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets one of its own; a cluster's is refused,
+    as its executors would each write to a disk of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -84,6 +87,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+#: Parts that the rows of one key are spread over in joins.
+SPREAD = 16
+
+
+def join_spread(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row for each key: rows of one key are spread by a further column, so that they aren't all in one task."""
+    spread = rows.withColumn("spread", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    keys = spread.select(key, "spread").distinct().join(side, key)
+    return spread.join(keys, [key, "spread"], how).drop("spread")
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column's decimal text, modulo n; 0 for null."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))

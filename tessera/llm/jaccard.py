@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import claim, discard, free_name, materialize, mix64, small_batches, word_hashes
+from tessera.llm.common import SPREAD, claim, discard, free_name, join_spread, materialize, mix64, small_batches, word_hashes
 
 WORDS = 4
 PERCENT = 85
@@ -50,8 +50,6 @@ LEAVES = 256
 BLOCK, BLOCK_BYTES = 1_000, 8 << 20
 #: Up to so many rows of 40 bytes are broadcast to pick texts; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
-#: Parts that the rows of one key are spread over in joins.
-SPREAD = 16
 #: Sets that a task remembers, so as not to work on repeats again.
 SEEN = 100_000
 
@@ -133,13 +131,6 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
 
 
-def _join_spread(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """rows joined with side, which has one row for each key: rows of one key are spread by a further column, so that they aren't all in one task."""
-    spread = rows.withColumn("spread", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
-    keys = spread.select(key, "spread").distinct().join(side, key)
-    return spread.join(keys, [key, "spread"], how).drop("spread")
-
-
 def _members(batches, words: int):
     claim()
     for batch in batches:
@@ -401,7 +392,7 @@ def _bodies(texts: DataFrame, known: DataFrame, clusters: DataFrame) -> DataFram
     firsts = known.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.max("n_shingles").alias("n"))
     pick = materialize(firsts.join(clusters, "node").select("node", "n", "root", "first.doc_id", "first.digest"), "wanted")
     large = (F.count(F.lit(1)) > BLOCK) | (8 * F.sum("n") > BLOCK_BYTES)
-    placed = _join_spread(pick, pick.groupBy("root").agg(large.alias("large")), "root", "node")
+    placed = join_spread(pick, pick.groupBy("root").agg(large.alias("large")), "root", "node")
     if pick.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
     chosen = texts.filter("doc_id IS NOT NULL").join(placed, ["doc_id", "digest"]).select("node", "n", "root", "large", "text")
@@ -435,7 +426,7 @@ def _block_links(cells: DataFrame, percent: int, words: int) -> DataFrame:
 def _star_links(candidates: DataFrame, bodies: DataFrame, percent: int, words: int) -> DataFrame:
     """(u, v): the candidate links that hold."""
     chunks = candidates.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / LEAVES).alias("chunks"))
-    dealt = _join_spread(candidates.select("u", "v"), chunks, "v", "u").withColumn("chunk", F.pmod(F.xxhash64("u", F.lit(1)), F.col("chunks")))
+    dealt = join_spread(candidates.select("u", "v"), chunks, "v", "u").withColumn("chunk", F.pmod(F.xxhash64("u", F.lit(1)), F.col("chunks")))
     text = F.col("text")
     leaves = dealt.join(bodies, dealt.u == bodies.node).select(F.col("v").alias("hub"), "chunk", F.lit(1).alias("side"), "node", text)
     heads = chunks.join(bodies, chunks.v == bodies.node).select(
@@ -449,7 +440,7 @@ def _rest_links(candidates: DataFrame, roots: DataFrame, bodies: DataFrame, perc
     """(u, v): links within stars whose sets are in several components still; None if there is no such star."""
     stars = candidates.filter("crowded").select(F.col("v").alias("star"), F.col("u").alias("node"))
     members = stars.unionByName(stars.select("star", F.col("star").alias("node")).distinct())
-    members = _join_spread(members, roots, "node", "star", "left").select("star", "node", F.coalesce("root", "node").alias("root"))
+    members = join_spread(members, roots, "node", "star", "left").select("star", "node", F.coalesce("root", "node").alias("root"))
     sizes = bodies.groupBy("node").agg(F.max("n").alias("n"))
     parts = materialize(members.join(sizes, "node"), "members")
     by = parts.groupBy("star", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("n"))
@@ -461,7 +452,7 @@ def _rest_links(candidates: DataFrame, roots: DataFrame, bodies: DataFrame, perc
         return None
     blocks = lambda sets, n: F.ceil(F.greatest(sets / BLOCK, 8 * n / BLOCK_BYTES)).cast("int")
     plan = total.select("star", "most", blocks(F.col("top.sets"), F.col("top.n")).alias("large"), blocks(F.col("sets") - F.col("top.sets"), F.col("n") - F.col("top.n")).alias("rest"))
-    dealt = _join_spread(parts, plan, "star", "node")
+    dealt = join_spread(parts, plan, "star", "node")
     inside = F.col("root") == F.col("most")
     own = F.pmod(F.xxhash64("node"), F.when(inside, F.col("large")).otherwise(F.col("rest"))).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -493,7 +484,7 @@ def _link_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
     if far.isEmpty():
         roots, done = components(links), [candidates, clusters, bodies, links]
     else:
-        inner = materialize(_join_spread(candidates, far.select(F.col("node").alias("v")).distinct(), "v", "u"), "candidates")
+        inner = materialize(join_spread(candidates, far.select(F.col("node").alias("v")).distinct(), "v", "u"), "candidates")
         held = materialize(_star_links(inner, far, percent, words), "links")
         roots = components(links.unionByName(held))
         more = _rest_links(inner, roots, far, percent, words)
@@ -508,7 +499,7 @@ def _link_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
     part = spread.groupBy("node", "spread").agg(F.min("doc_id").alias("least"))
     named = part.groupBy("node").agg(F.min("least").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = _join_spread(named.select("node", "root"), least, "root", "node")
+    final = join_spread(named.select("node", "root"), least, "root", "node")
     placed = spread.join(part.select("node", "spread").join(final, "node"), ["node", "spread"])
     rest = known.filter("node IS NULL").select("doc_id", "n_shingles", "node", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("component_id"))
     return placed.select(*rest.columns).unionByName(rest)

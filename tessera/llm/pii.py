@@ -1,16 +1,18 @@
 """Personal data and secrets replaced by surrogates, with DataFrame and SQL functions only.
 
-Entities are found by one pattern with an alternative for each type. Every distinct entity gets a surrogate from keyed hashes
-(SHA-2 over the key, the type, the entity and the attempt) that keeps its type and format: lengths, separators, letter case,
-country code, card brand and Luhn check; e-mail domains become reserved ones; names keep honorific, gender,
-script and number of parts. The same entity has the same surrogate everywhere. Surrogates that two entities share, or that
-are themselves entities of the texts, are drawn again until none is left; after ``ATTEMPTS`` rounds, what a format is too
-small to keep apart gets a longer form.
-
-Texts without entities are not shuffled. Entities are: one row for each distinct entity of a document.
-
-Cases: null texts stay null and have no entities. Empty texts stay empty. Repeated rows are replaced alike. An empty table gives an empty
-result. The other columns of the table are kept.
+Entities are found by one pattern with an alternative for each type, in one pass that puts a mark around each; what is between the marks is
+kept as an array, and the text is put together again from it. In a text that names a person with an honorific, the family name alone is
+an entity too. Every distinct entity gets a surrogate from keyed hashes (SHA-2 over the key, the type, the entity and the attempt) that
+keeps its type and format: lengths, separators, letter case, country code, card brand, Luhn and IBAN check digits; e-mail domains become
+reserved ones; names keep honorific, gender, script and number of parts. The same entity has the same surrogate everywhere, and so has
+a family name with any given name. Surrogates that two entities share, or that are themselves entities of the texts, are drawn again
+until none is left; after ``ATTEMPTS`` rounds, what a format is too small to keep apart gets a longer form.
+
+The table is written once with the arrays, each row under a number of its own, so that ids decide nothing. Texts without entities are not shuffled.
+
+Cases: null texts stay null and have no entities. Empty texts stay empty. Repeated rows are replaced alike; null and repeated ids are
+rows like others. An empty table gives an empty result. The other columns of the table are kept, whatever their names. The noncharacters that
+serve as marks are escaped while they are in a text. Names without an honorific, and family names of fewer than three letters alone, are no entities.
 """
 
 from __future__ import annotations
@@ -18,16 +20,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, free_name, materialize
+from tessera.llm.common import discard, free_name, join_spread, materialize
 
 ATTEMPTS = 8
-#: Up to so many documents with entities, their maps are broadcast (some 300 bytes each); beyond, the join shuffles.
-BROADCAST_DOCUMENTS = 50_000
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: Honorifics by gender (fixed values).
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Madam", "госпожа"]
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+#: Honorifics by gender; those of either gender last (fixed values).
+MALE = ["Mr", "Mister", "Herr", "Hr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Signor", "господин", "Господин"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Fr", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Doña", "Madam", "Signora", "госпожа", "Госпожа"]
+EITHER = ["Dr", "Prof", "Professor", "Doctor", "Dra", "Rev", "Mx", "доктор", "Доктор", "профессор", "Профессор"]
+#: Those that are also written in small letters, with a full stop (fixed values).
+ABBREVIATED = ["mr", "mrs", "ms", "dr", "prof", "sr", "sra", "mme", "hr", "fr"]
 #: Given names by gender and script (fixed values).
 GIVEN = {
     ("m", "latin"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Oscar", "Paul", "Simon"],
@@ -40,28 +44,49 @@ SYLLABLES = {
     "latin": ["bar", "ben", "dor", "el", "fin", "gar", "hol", "kan", "lam", "mor", "nel", "par", "ros", "san", "tor", "win"],
     "cyrillic": ["бар", "бел", "вор", "дан", "гор", "жил", "зай", "кам", "лом", "мар", "нов", "пет", "рос", "сев", "тол", "чер"],
 }
-_HONORIFIC = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)*"
+_HONORIFIC = "(?:" + "|".join(sorted(MALE + FEMALE + EITHER + [x.upper() for x in ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau")], key=len, reverse=True)) + r")\.?|(?:" + "|".join(ABBREVIATED) + r")\."
+_TITLE = rf"(?:(?:{_HONORIFIC})[ ]){{1,2}}"
+_NAME = r"(?:\p{Lu}[\p{Ll}\p{M}]+|\p{Lu}{2,})(?:[-'’](?:\p{Lu}[\p{Ll}\p{M}]+|\p{Lu}{2,}))*(?!\p{L})"
+_LABEL = r"(?i:password|passwd|passphrase|pwd|secret|secret[_-]key|token|api[_-]?key|access[_-]key|auth[_-]key|private[_-]key|credential)"
+_PHONE_LABEL = r"(?i:tel|telephone|phone|mobile|fon|telefon|fax|тел)"
 
 #: Types and their patterns, in order of precedence.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?:password|passwd|secret|token|api_key|apikey)(?: ?[=:] ?[\"']?))[A-Za-z0-9+/_.-]{8,}(?<![.])|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "secret": rf"(?<={_LABEL}(?: ?[=:] ?[\"']?))[A-Za-z0-9+/_.-]{{8,}}(?<![.])|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b",
+    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|(?<![\w:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_GROUP}:){{7}}{_GROUP}|{_GROUP}(?::{_GROUP}){{0,5}}::(?:{_GROUP}(?::{_GROUP}){{0,5}})?)(?![\w:]|\.[0-9])",
     "card": r"(?<![0-9-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9-])|(?<![0-9-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9-.])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-.])",
-    "name": rf"(?<!\p{{L}})(?:{_HONORIFIC})\.?[ ]{_NAME}(?:[ ]{_NAME})?",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9-.])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-.])"
+    rf"|(?<={_PHONE_LABEL}[.:]{{0,2}} {{0,2}})0[0-9]{{1,5}}(?:[ /.-]?[0-9]{{2,8}}){{1,4}}(?![0-9])",
+    "name": rf"{_TITLE}{_NAME}(?:[ ]{_NAME})?",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Within a word no entity begins: most places of a text are tested no further.
+ENTITY = r"(?<!\p{L})(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: A quick test that every text with an entity passes.
-HINT = rf"[0-9@]|(?:{_HONORIFIC})\.? |password|passwd|secret|token|api_?key|AKIA|ASIA"
+HINT = rf"[0-9@]|(?:{_HONORIFIC}) |{_LABEL}|AKIA|ASIA"
+#: What each type looks like without its surroundings, where that is not its pattern.
+_BARE = {"phone": PATTERNS["phone"] + r"|0[0-9]{1,5}(?:[ /.-]?[0-9]{2,8}){1,4}", "name": rf"{PATTERNS['name']}|{_NAME}"}
+#: A mark around entities, and what escapes it in texts that have it.
+_MARK, _ESCAPE = "\ufdd0", "\ufdd1"
+
+
+def mark_entities(text: Column) -> Column:
+    """A text as an array that alternates what is kept and an entity, from the former; null for a text without entities and for null."""
+    plain = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
+    parts = F.split(F.regexp_replace(plain, ENTITY, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    return F.when(text.rlike(HINT), F.when(F.size(parts) > 1, parts))
 
 
-def find_entities(text: Column) -> Column:
-    """The entities of a text, in order, with repeats; an empty array for null."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def mark_families(parts: Column) -> Column:
+    """The same array with the family names of its persons, where they stand alone, as further entities."""
+    named = F.filter(parts, lambda x, i: (i % 2 == 1) & x.rlike(f"^{_TITLE}"))
+    families = F.array_distinct(F.filter(F.transform(named, lambda x: F.element_at(F.split(x, " "), -1)), lambda x: F.length(x) > 2))
+    quoted = F.transform(families, lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(quoted, "|"), F.lit(r")(?!\p{L})"))
+    again = F.transform(parts, lambda x, i: F.when(i % 2 == 1, x).otherwise(F.regexp_replace(x, pattern, F.lit(f"{_MARK}$0{_MARK}"))))
+    return F.when(F.size(families) > 0, F.split(F.array_join(again, _MARK), _MARK, -1)).otherwise(parts)
 
 
 def entity_type(value: Column) -> Column:
@@ -70,7 +95,7 @@ def entity_type(value: Column) -> Column:
     for name, pattern in PATTERNS.items():
         if name == "secret":
             continue
-        test = value.rlike(f"^(?:{pattern})$")
+        test = value.rlike(f"^(?:{_BARE.get(name, pattern)})$")
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise("secret")
 
@@ -94,7 +119,7 @@ def _recode(value: Column, stream: Column, keep: int = 0, hexes: bool = False) -
         pick = lambda letters, m: letters.substr((F.pmod(n, F.lit(m)) + 1).cast("int"), F.lit(1))
         return (
             F.when(i < keep, c).when(c.rlike("^[0-9]$"), pick(ten, 10)).when(c.rlike("^[a-z]$"), pick(small, 6 if hexes else 26))
-            .when(c.rlike("^[A-Z]$"), pick(large, 26)).otherwise(c)
+            .when(c.rlike("^[A-Z]$"), pick(large, 6 if hexes else 26)).otherwise(c)
         )
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
@@ -127,111 +152,142 @@ def _email(value: Column, stream: Column, key: str) -> Column:
 
 
 def _ip(value: Column, stream: Column) -> Column:
-    return F.concat_ws(".", *[(F.pmod(_number(stream, 8 * i, 6), F.lit(254)) + 1).cast("string") for i in range(4)])
+    four = F.concat_ws(".", *[(F.pmod(_number(stream, 8 * i, 6), F.lit(254)) + 1).cast("string") for i in range(4)])
+    return F.when(F.contains(value, F.lit(":")), _recode(value, stream, hexes=True)).otherwise(four)
+
+
+def _mod97(iban: Column) -> Column:
+    """The remainder of an account number without blanks, its first four characters last and letters read as 10 to 35."""
+    turned = F.concat(F.substr(iban, F.lit(5)), iban.substr(F.lit(1), F.lit(4)))
+    digit = lambda c: F.conv(c, 36, 10).cast("int")
+    step = lambda a, c: F.pmod(a * F.when(c.rlike("[A-Z]"), 100).otherwise(10) + digit(c), F.lit(97))
+    return F.aggregate(F.split(turned, ""), F.lit(0), step)
+
+
+def _iban(value: Column, stream: Column) -> Column:
+    """The country stays; the check digits fit where they did."""
+    new = _recode(value, stream, keep=2)
+    bare = lambda c: F.regexp_replace(c, " ", "")
+    zeroed = F.concat(bare(new).substr(F.lit(1), F.lit(2)), F.lit("00"), F.substr(bare(new), F.lit(5)))
+    check = F.lpad((98 - _mod97(zeroed)).cast("string"), 2, "0")
+    return F.when(_mod97(bare(value)) == 1, F.concat(new.substr(F.lit(1), F.lit(2)), check, F.substr(new, F.lit(5)))).otherwise(new)
 
 
 def _phone(value: Column, stream: Column) -> Column:
-    """The country code stays; an area code doesn't begin with 0 or 1."""
+    """The country code and a leading 0 stay; else an area code doesn't begin with 0 or 1."""
     head = F.regexp_extract(value, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 1)
     rest = value.substr(F.length(head) + 1, F.length(value))
     new = _recode(rest, stream)
     first = F.regexp_extract(new, r"^([^0-9]*)", 1)
-    lead = (F.pmod(_number(stream, 100), F.lit(8)) + 2).cast("string")
+    lead = F.when(rest.startswith("0"), "0").otherwise((F.pmod(_number(stream, 100), F.lit(8)) + 2).cast("string"))
     return F.concat(head, first, lead, new.substr(F.length(first) + 2, F.length(new)))
 
 
-def _name(value: Column, attempt: Column, key: str) -> Column:
-    """The honorific, a given name of its gender and script for each part but the last, and a family name. Parts are keyed by
-    themselves, so that a family name alone has the same surrogate."""
-    title = F.regexp_extract(value, rf"^(?:{_HONORIFIC})\.?", 0)
-    female = F.regexp_replace(title, r"\.", "").isin(FEMALE)
-    cyrillic = value.rlike(r"\p{IsCyrillic}$")
-    parts = F.split(value.substr(F.length(title) + 2, F.length(value)), " ")
-    hash_of = lambda x: F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("name"), attempt.cast("string"), x), 256)
+def _family_of(value: Column) -> Column:
+    """The last part of a name."""
+    return F.element_at(F.split(value, " "), -1)
 
-    def given(x: Column) -> Column:
-        at = (F.pmod(_number(hash_of(x), 0), F.lit(16)) + 1).cast("int")
-        pick = lambda g, s: F.element_at(F.array(*map(F.lit, GIVEN[g, s])), at)
-        return F.when(cyrillic, F.when(female, pick("f", "cyrillic")).otherwise(pick("m", "cyrillic"))).otherwise(
-            F.when(female, pick("f", "latin")).otherwise(pick("m", "latin"))
-        )
 
-    def family(x: Column) -> Column:
-        h = hash_of(x)
-        pick = lambda s: F.concat(*[F.element_at(F.array(*map(F.lit, SYLLABLES[s])), (F.pmod(_number(h, 8 * i), F.lit(16)) + 1).cast("int")) for i in range(4)])
-        return F.initcap(F.when(cyrillic, pick("cyrillic")).otherwise(pick("latin")))
+def _family(value: Column, attempt: Column, key: str) -> Column:
+    """A made-up family name in the script and letter case of another."""
+    h = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("family"), attempt.cast("string"), F.lower(value)), 256)
+    pick = lambda s: F.concat(*[F.element_at(F.array(*map(F.lit, SYLLABLES[s])), (F.pmod(_number(h, 8 * i), F.lit(16)) + 1).cast("int")) for i in range(4)])
+    made = F.initcap(F.when(value.rlike(r"\p{IsCyrillic}$"), pick("cyrillic")).otherwise(pick("latin")))
+    made = F.when(value == F.upper(value), F.upper(made)).otherwise(made)
+    return F.when(attempt < ATTEMPTS, made).otherwise(F.concat(made, F.lit("-"), F.initcap(F.translate(h.substr(F.lit(1), F.lit(16)), "0123456789", "ghijklmnop"))))
 
-    n = F.size(parts)
-    return F.concat_ws(" ", title, F.when(n > 1, given(F.element_at(parts, 1))), family(F.element_at(parts, -1)))
+
+def _name(value: Column, family: Column, attempt: Column, key: str) -> Column:
+    """The honorific, a given name of its gender and script where there is one, and the surrogate of the family name. From the fourth attempt on the
+    given name is a double one."""
+    title = F.regexp_extract(value, rf"^(?:{_TITLE})?", 0)
+    parts = F.split(F.substr(value, F.length(title) + 1), " ")
+    own, cyrillic = F.element_at(parts, 1), value.rlike(r"\p{IsCyrillic}$")
+    address = F.lower(F.regexp_extract(title, r"^([^. ]*)", 1))
+    either = own.isin(*GIVEN["f", "latin"], *GIVEN["f", "cyrillic"]) | own.rlike("[aа]$")
+    female = address.isin([x.lower() for x in FEMALE]) | (~address.isin([x.lower() for x in MALE]) & either)
+    h = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("given"), attempt.cast("string"), own), 256)
+
+    def pick(place: int) -> Column:
+        at = (F.pmod(_number(h, place), F.lit(16)) + 1).cast("int")
+        one = lambda g, s: F.element_at(F.array(*map(F.lit, GIVEN[g, s])), at)
+        return F.when(cyrillic, F.when(female, one("f", "cyrillic")).otherwise(one("m", "cyrillic"))).otherwise(F.when(female, one("f", "latin")).otherwise(one("m", "latin")))
+
+    given = F.when(attempt > 2, F.concat(pick(0), F.lit("-"), pick(8))).otherwise(pick(0))
+    return F.concat(title, F.when((F.length(title) > 0) & (F.size(parts) > 1), F.concat(given, F.lit(" "))).otherwise(""), family)
 
 
 def surrogate(key: str) -> Column:
-    """The surrogate of the columns value, kind and attempt. From ATTEMPTS on it is longer than the format."""
+    """The surrogate of the columns value, kind, family (of names) and attempt. From ATTEMPTS on it is longer than the format."""
     value, kind, attempt = F.col("value"), F.col("kind"), F.col("attempt")
     stream = _stream(value, kind, attempt, key, "surrogate")
     hexes = value.rlike("^[0-9a-f]+$")
     secret = F.when(hexes, _recode(value, stream, hexes=True)).when(value.rlike("^A[KS]IA"), _recode(value, stream, keep=4)).otherwise(_recode(value, stream))
     out = (
         F.when(kind == "email", _email(value, stream, key)).when(kind == "ip", _ip(value, stream)).when(kind == "card", _card(value, stream))
-        .when(kind == "phone", _phone(value, stream)).when(kind == "iban", _recode(value, stream, keep=2))
-        .when(kind == "name", _name(value, attempt, key)).when(kind == "ssn", _recode(value, stream)).otherwise(secret)
+        .when(kind == "phone", _phone(value, stream)).when(kind == "iban", _iban(value, stream))
+        .when(kind == "name", _name(value, F.col("family"), attempt, key)).when(kind == "ssn", _recode(value, stream)).otherwise(secret)
     )
     return F.when(attempt < ATTEMPTS, out).otherwise(F.concat(out, F.lit("-"), stream.substr(F.lit(1), F.lit(16))))
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(value, kind, surrogate) of distinct entities (value), the surrogates distinct and none of them an entity."""
-    known = entities.groupBy("value").agg(F.count(F.lit(1)).alias("documents")).select("value", entity_type(F.col("value")).alias("kind"))
-    now = materialize(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(key)), "surrogates")
-    for _ in range(ATTEMPTS + 2):
+def _draw_apart(known: DataFrame, draw: Column) -> DataFrame:
+    """known (value, ...) with attempt and surrogate: drawn again until the surrogates are distinct and none of them is a value."""
+    now = materialize(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw), "surrogates")
+    for _ in range(ATTEMPTS + 3):
         taken = now.groupBy("surrogate").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("surrogate", "first")
         clash = now.join(taken, "surrogate").filter("value != first").select("value")
         same = now.select(F.col("surrogate").alias("s"), "value").join(now.select(F.col("value").alias("s")), "s").select("value")
         again = clash.unionByName(same).distinct()
         if again.isEmpty():
-            break
+            return now
         marked = now.join(again.withColumn("redo", F.lit(True)), "value", "left")
         nxt = materialize(
             marked.withColumn("attempt", F.col("attempt") + F.when(F.col("redo"), 1).otherwise(0)).drop("surrogate", "redo")
-            .withColumn("surrogate", surrogate(key)).select("value", "kind", "attempt", "surrogate"), "surrogates"
+            .withColumn("surrogate", draw).select(*now.columns), "surrogates"
         )
         discard(now)
         now = nxt
-    return now.select("value", "kind", "surrogate")
+    raise RuntimeError("surrogates still clash")
 
 
-def rewrite(text: Column, known: Column) -> Column:
-    """The text with each entity replaced through a map."""
-    between = F.split(text, ENTITY, -1)
-    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda x: F.coalesce(known[x], F.lit("[removed]"))), F.array(F.lit("")))
-    return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(value, kind, surrogate) of distinct entities (value), the surrogates distinct and none of them an entity."""
+    known = materialize(entities.groupBy("value").agg(F.count(F.lit(1)).alias("places")).select("value", entity_type(F.col("value")).alias("kind")), "known")
+    words = known.filter("kind = 'name'").select(_family_of(F.col("value")).alias("value")).distinct()
+    families = _draw_apart(words, _family(F.col("value"), F.col("attempt"), key))
+    named = join_spread(
+        known.filter("kind = 'name'").withColumn("last", _family_of(F.col("value"))), families.select(F.col("value").alias("last"), F.col("surrogate").alias("family")), "last", "value"
+    ).select("value", "kind", "family")
+    rest = known.filter("kind != 'name'").withColumn("family", F.lit(None).cast("string"))
+    out = _draw_apart(named.unionByName(rest), surrogate(key)).select("value", "kind", "surrogate")
+    discard(known)
+    discard(families)
+    return out
 
 
 def replace_entities(docs: DataFrame, key: str = "tessera-surrogates", id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """The table with surrogates in its texts; with counts, also n_entities and one count for each type (n_email, ...)."""
-    doc, text = docs[id_col], F.col(text_col)
-    mark, known, kinds = (free_name(docs, x) for x in ("entity_id", "entity_map", "entity_kinds"))
-    found = docs.select(doc.alias("id"), find_entities(text).alias("found")).filter(F.size("found") > 0)
-    listed = materialize(found.select("id", F.explode(F.array_distinct("found")).alias("value")), "entities")
-    table = surrogates(listed, key)
-    maps = materialize(
-        listed.distinct().join(table, "value").groupBy(F.col("id").alias(mark))
-        .agg(F.map_from_entries(F.collect_set(F.struct("value", "surrogate"))).alias(known), F.map_from_entries(F.collect_set(F.struct("value", "kind"))).alias(kinds)),
-        "maps",
-    )
-    side = F.broadcast(maps) if maps.count() <= BROADCAST_DOCUMENTS else maps
-    has = F.coalesce(text.rlike(HINT) & text.rlike(ENTITY), F.lit(False))
-    touched = docs.filter(has).join(side, doc.eqNullSafe(F.col(mark)))
+    """The table with surrogates in its texts; with counts, also n_entities and one count for each type (n_email, ...). Ids are not looked at."""
+    parts, row, found = (free_name(docs, x) for x in ("entity_parts", "entity_row", "entities_found"))
     names = ["n_entities", *(f"n_{x}" for x in PATTERNS)] if counts else []
     order = [*(c for c in docs.columns if c not in names), *names]
-    every = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    known = docs.withColumn(parts, mark_families(mark_entities(F.col(text_col)))).withColumn(row, F.monotonically_increasing_id())
+    known = materialize(known.withColumn(text_col, F.when(F.col(parts).isNull(), F.col(text_col))), "marked")
+    touched = known.filter(F.col(parts).isNotNull())
+    places = touched.select(F.col(row).alias("row"), F.posexplode(parts).alias("at", "value")).filter("at % 2 = 1")
+    table = surrogates(places.select("value"), key)
+    placed = join_spread(places, table, "value", "row")
+    lists = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate", "kind"))).alias(found)).withColumnRenamed("row", row)
+    touched = touched.join(lists, row)
+    new = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, x).otherwise(F.get(F.col(found), ((i - 1) / 2).cast("int"))["surrogate"])), "")
+    plain = F.replace(F.replace(new, F.lit(_ESCAPE + "a"), F.lit(_MARK)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
     if counts:
-        all_kinds = F.transform(every, lambda x: F.col(kinds)[x])
-        touched = touched.withColumn("n_entities", F.size(every).cast("long"))
+        touched = touched.withColumn("n_entities", F.size(found).cast("long"))
+        kinds = F.transform(found, lambda x: x["kind"])
         for name in PATTERNS:
-            touched = touched.withColumn(f"n_{name}", (F.size(all_kinds) - F.size(F.array_remove(all_kinds, name))).cast("long"))
-    touched = touched.withColumn(text_col, rewrite(text, F.col(known)))
-    plain = docs.filter(~has)
+            touched = touched.withColumn(f"n_{name}", (F.size(found) - F.size(F.array_remove(kinds, name))).cast("long"))
+    touched = touched.withColumn(text_col, plain)
+    rest = known.filter(F.col(parts).isNull())
     for name in names:
-        plain = plain.withColumn(name, F.lit(0).cast("long"))
-    return plain.select(*order).unionByName(touched.select(*order))
+        rest = rest.withColumn(name, F.lit(0).cast("long"))
+    return rest.select(*order).unionByName(touched.select(*order))

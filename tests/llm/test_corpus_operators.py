@@ -476,6 +476,76 @@ def test_surrogates_stay_distinct(spark):
     assert got.surrogate.nunique() == 81 and set(got.kind) == {"ssn"}
 
 
+def test_surrogate_cases(spark):
+    """Honorifics, labels and phones of several kinds, IPv6, check digits, coreference, marks within texts, null and repeated ids."""
+    rows = [
+        (1, "Contact Dr. Anna Smith or Prof. John Miller. Password: hunter2secret API_KEY=ABCDEFGH12345678 ipv6 2001:db8::ff00:42:8329 tel 030 1234567"),
+        (1, "Mr. John Smith spoke. Smith wrote, Smithers did not. MRS. SMITH left; mrs. Clara Smith too. Smiths"),
+        (None, "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not DE00 3704 0044 0532 0130 00"),
+        (None, "marks \ufdd0 and \ufdd1a stay, x@y.org \ufdd1b goes"), (3, "std::string a::b 12:30 I miss You, sir"), (4, "Herr Dr. Müller und Frau Müller; Müller"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text, r.n_entities) for r in pii.replace_entities(df, counts=True).collect())
+    text = " ".join(t for _, t, _ in got)
+    for gone in ("Anna Smith", "Miller", "hunter2", "ABCDEFGH1", "ff00", "1234567", "John", "Smith wrote", "SMITH", "Clara Smith", "Müller", "x@y.org", "3704 0044 0532 0130 00 and", "WEST"):
+        assert gone not in text, gone
+    by = {t.split()[0]: (t, n) for _, t, n in got}
+    assert by["std::string"] == (rows[4][1], 0) and "Smithers did not" in text and "Smiths" in text
+    assert re.search(r"marks \ufdd0 and \ufdd1a stay, \S+@\S+ \ufdd1b goes", text)
+    m = re.search(r"Mr\. (\w+) (\w+) spoke\. (\w+) wrote, Smithers did not\. MRS\. (\w+) left; mrs\. (\w+) (\w+) too\.", text)
+    assert m[2] == m[3] == m[6] == m[4].capitalize() and m[1] in pii.GIVEN["m", "latin"] and m[5] in pii.GIVEN["f", "latin"]
+    c = re.search(r"Dr\. (\w+) (\w+) or Prof\. (\w+) (\w+)\. Password: (\S+) API_KEY=(\S+) ipv6 (\S+) tel (0\d\d \d{7})", text)
+    assert c[2] == m[2] and c[1] in pii.GIVEN["f", "latin"] and c[3] in pii.GIVEN["m", "latin"] and len(c[5]) == 13 and c[6].isupper() is True
+    assert re.fullmatch(r"\d{4}:[a-f][a-f]\d::[a-f]{2}\d\d:\d\d:\d{4}", c[7])
+
+    def remainder(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(k, 36)) for k in x[4:] + x[:4])) % 97
+
+    accounts = re.search(r"IBAN (DE[\d ]{25}) and (GB\d\d[A-Z]{4}\d{14}), not (DE[\d ]{25})", text)
+    assert remainder(accounts[1]) == remainder(accounts[2]) == 1
+    u = re.search(r"Herr Dr\. (\w+) und Frau (\w+); (\w+)", text)
+    assert u[1] == u[2] == u[3]
+
+
+def test_surrogates_against_brute_force(spark, docs):
+    """Entities found by another engine: what is between them stays, and each has one surrogate, which no other has."""
+    import regex
+
+    entity, title = regex.compile(pii.ENTITY), regex.compile(f"^{pii._TITLE}")
+    found, rows = {}, {r.doc_id: r.text for r in pii.replace_entities(docs).select("doc_id", "text").collect()}
+    seen = 0
+    for k, t in texts_of(docs):
+        whole = [(m.start(), m.end()) for m in entity.finditer(t)]
+        families = {t[a:b].split(" ")[-1] for a, b in whole if title.search(t[a:b])} - {""}
+        families = sorted(x for x in families if len(x) > 2)
+        if families:
+            lone = regex.compile(rf"(?<!\p{{L}})(?:{'|'.join(map(regex.escape, families))})(?!\p{{L}})")
+            last, more = 0, []
+            for a, b in [*whole, (len(t), len(t))]:
+                more += [(last + m.start(), last + m.end()) for m in lone.finditer(t[last:a])]
+                last = b
+            whole = sorted(whole + more)
+        out, last, pattern = rows[k] or "", 0, ""
+        for a, b in whole:
+            pattern += regex.escape(t[last:a]) + "(.+?)"
+            last = b
+        m = regex.fullmatch(pattern + regex.escape(t[last:]), out, regex.S)
+        assert m, k
+        for (a, b), new in zip(whole, m.groups(), strict=True):
+            seen += 1
+            assert found.setdefault(t[a:b], new) == new and new != t[a:b]
+    assert seen > 10 and len(set(found.values())) == len(found) and not set(found) & set(found.values())
+
+
+def test_surrogates_of_long_texts(spark):
+    """One text with many entities, a third of them one value."""
+    t = " ".join(f"user{i if i % 3 else 0}@mail.org" for i in range(30_000))
+    (r,) = pii.replace_entities(spark.createDataFrame([(1, t)], "doc_id long, text string"), counts=True).collect()
+    new = r.text.split(" ")
+    assert r.n_email == 30_000 and len(set(new)) == 20_001 and new[0] == new[3] != new[1] and "@mail.org" not in r.text
+
+
 def test_pii_plan_is_native(docs):
     plan = pii.replace_entities(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
