@@ -6,7 +6,9 @@ import json
 import math
 import re
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,24 +150,47 @@ def _fold_blanks(text: str, ranges: list[tuple[int, int]]) -> tuple[str, list[tu
     return "".join(out), [(place[a], place[b]) for a, b in ranges]
 
 
-def snippet_of(content: str, tokens: list[str], centre: bool, source: str, index: int | None, count: int | None, window: int = 120, anchor: int = 40, lead: int = 20):
-    """A window of the content around its first hit (or from its start), with the hits' ranges in it and an anchor text to find the place."""
-    if not content or not content.strip():
-        return None
-    hits = find_hits(content, [t for t in tokens if _ASCII_TOKEN.match(t) or len(t) >= 2]) or find_hits(content, tokens)
-    first = hits[0][0] if centre and hits else None
-    n = len(content)
-    start = 0 if first is None else max(0, min(first - lead, n - window))
-    end = min(n, start + window)
-    shown = [(max(a, start) - start, min(b, end) - start) for a, b in hits if b > start and a < end]
-    text, ranges = _fold_blanks(content[start:end], shown)
-    at = first or 0
-    if n - at < anchor:
-        at = max(0, n - anchor)
-    return {
-        "text": text, "ranges": [{"s": a, "e": b} for a, b in ranges], "source": source, "anchor": content[at : at + anchor],
-        "chunk_index": index, "chunk_count": count, "anchor_ratio": at / n,
-    }
+@dataclass(frozen=True)
+class Source:
+    """A text that a snippet may be cut from: where it came from, and of a chunk its place among the note's chunks."""
+
+    kind: str
+    content: str
+    index: int | None = None
+    count: int | None = None
+    centred: bool = True  # on the first hit; else the beginning is shown
+
+    def usable(self) -> bool:
+        return bool(self.content and self.content.strip())
+
+
+@dataclass(frozen=True)
+class View:
+    """How much is shown: the window, what comes before a hit in it, and the anchor text that finds the place again."""
+
+    window: int = 120
+    lead: int = 20
+    anchor: int = 40
+
+
+def _hits_in(content: str, tokens: list[str]) -> list[tuple[int, int]]:
+    """Hits of the telling tokens; single characters beyond ASCII count only where nothing else is found."""
+    telling = [t for t in tokens if len(t) > 1 or _ASCII_TOKEN.match(t)]
+    return find_hits(content, telling) or find_hits(content, tokens)
+
+
+def cut_snippet(source: Source, tokens: list[str], view: View = View()) -> dict:
+    """A window of a text with the ranges of the hits in it."""
+    hits, n = _hits_in(source.content, tokens), len(source.content)
+    focus = hits[0][0] if source.centred and hits else 0
+    left = min(max(focus - view.lead, 0), max(n - view.window, 0)) if focus else 0
+    right = min(left + view.window, n)
+    inside = [(max(a - left, 0), min(b, right) - left) for a, b in hits if a < right and left < b]
+    shown, ranges = _fold_blanks(source.content[left:right], inside)
+    place = min(focus, max(n - view.anchor, 0))
+    out = {"text": shown, "ranges": [dict(s=a, e=b) for a, b in ranges], "source": source.kind, "chunk_index": source.index, "chunk_count": source.count}
+    kept = source.kind != "description"  # a description isn't part of the note's text
+    return out | {"anchor": source.content[place : place + view.anchor] if kept else None, "anchor_ratio": place / n if kept else None}
 
 
 SNIPPET = T.StructType([
@@ -179,32 +204,26 @@ def build_snippet(
     tokens: list[str], keyword_rank: int | None, semantic_rank: int | None, keyword: tuple[int, str] | None, description: str | None, semantic: tuple[int, str] | None,
     weights: tuple[float, float] = (1.0, 1.0), k: int = 60, count: int | None = None, verbatim: tuple[int, str, str] | None = None,
 ):
-    """The snippet of a result: a verbatim hit first, else from the leg that gave the larger share, unless it shows no query word and the
-    other does. Hits are (chunk index, content); a result that only its title matched has none."""
+    """The snippet of a result, or None. Rule: the chunk that has the query word for word comes before all, if it shows it; then the legs by their
+    share of the score (the keyword leg on a tie; a note's description stands in for a missing chunk of it); a snippet
+    that shows a query word comes before one that shows none. A result that only its title matched has no snippet.
+    Hits are (chunk index, content)."""
     if verbatim:
-        found = snippet_of(verbatim[1], [verbatim[2]], True, "bm25", verbatim[0], count)
-        if found and found["ranges"]:
+        exact = Source("bm25", verbatim[1], verbatim[0], count)
+        if exact.usable() and (found := cut_snippet(exact, [verbatim[2]]))["ranges"]:
             return found
-    a = weights[0] / (k + keyword_rank) if keyword_rank else 0.0
-    b = weights[1] / (k + semantic_rank) if semantic_rank else 0.0
-    if a == 0 and b == 0:
+    legs = []  # (share, order, source)
+    for order, (rank, weight) in enumerate(((keyword_rank, weights[0]), (semantic_rank, weights[1]))):
+        share = weight / (k + rank) if rank else 0.0
+        choices = [Source("semantic", semantic[1], semantic[0], count, centred=False)] if order and semantic else []
+        if not order:
+            choices = [Source("bm25", keyword[1], keyword[0], count)] if keyword else []
+            choices += [Source("description", description)] if description else []
+        legs.append((share, order, next((x for x in choices if x.usable()), None)))
+    if not any(share > 0 for share, _, _ in legs):
         return None
-
-    def by_keyword():
-        found = snippet_of(keyword[1], tokens, True, "bm25", keyword[0], count) if keyword else None
-        if found is None and description:
-            found = snippet_of(description, tokens, True, "description", None, None)
-            if found:
-                found |= {"anchor": None, "anchor_ratio": None}
-        return found
-
-    def by_meaning():
-        return snippet_of(semantic[1], tokens, False, "semantic", semantic[0], count) if semantic else None
-
-    first, second = (by_keyword(), by_meaning()) if a >= b else (by_meaning(), by_keyword())
-    if first and not first["ranges"] and second and second["ranges"]:
-        return second
-    return first or second
+    cut = [cut_snippet(x, tokens) for _, _, x in sorted(legs, key=lambda leg: (-leg[0], leg[1])) if x]
+    return min(cut, key=lambda x: not x["ranges"], default=None)  # the first of equals
 
 
 def _body_start(content: str) -> int:
@@ -250,19 +269,15 @@ def _token_weight(c: str) -> float:
 
 
 def sample_spread(text: str, budget: float = 3000, parts: int = 6, joint: str = "\n…\n") -> str:
-    """The text if it fits the token budget, else equal shares of it from the start of each of its parts."""
-    if sum(map(_token_weight, text)) <= budget:
+    """The text if it fits the token budget; else it is divided into equal parts, and the beginnings of all, one joint between two, share
+    the budget equally."""
+    cost = np.fromiter(map(_token_weight, text), dtype=np.float64, count=len(text))
+    if cost.sum() <= budget:
         return text
-    share = (budget - (parts - 1) * sum(map(_token_weight, joint))) / parts
-    out = []
-    for i in range(parts):
-        start, stop = len(text) * i // parts, len(text) * (i + 1) // parts
-        used, end = 0.0, start
-        while end < stop and used + _token_weight(text[end]) <= share:
-            used += _token_weight(text[end])
-            end += 1
-        out.append(text[start:end])
-    return joint.join(out)
+    each = (budget - (parts - 1) * sum(_token_weight(c) for c in joint)) / parts
+    bounds = [len(text) * i // parts for i in range(parts + 1)]
+    fits = lambda a, b: int(np.searchsorted(np.cumsum(cost[a:b]), each + 1e-9, side="right"))
+    return joint.join(text[a : a + fits(a, b)] for a, b in zip(bounds, bounds[1:]))
 
 
 def sample_spread_col(c):
@@ -316,25 +331,21 @@ def truncate_label(text: str, width: int = 20) -> str:
     return "".join(kept) + ELLIPSIS
 
 
-#: Openers of generated descriptions that a label leaves out (fixed values).
-_EN_OPENER = re.compile(
-    r"^(?:This|The) (?:note|article|post|document|entry|essay) (?:describes|discusses|explores|records|covers|explains|summarizes|introduces|details|"
-    r"outlines|examines|presents|highlights|documents|reflects|analyzes|shares|recounts|reviews|chronicles)(?:\s+|$)",
-    re.I,
-)
-_ZH_VERBS = (
-    "紀錄|記錄|记录|記載|记载|探討|探讨|說明|说明|介紹|介绍|討論|讨论|整理|分析|描述|闡述|阐述|概述|總結|总结|分享|談論|谈论|談到|谈到|談及|谈及|講述|讲述|"
-    "回顧|回顾|反思|呈現|呈现|提出|聚焦|描繪|描绘|揭示|關注|关注|表達|表达|提供|報導|报导|詳述|详述|總覽|总览|關乎|关乎|針對|针对"
-)
-_ZH_OPENER = re.compile(
-    "^(?:(?:本文|本篇(?:文章|筆記|笔记)?|本筆記|本笔记|(?:這|这)(?:篇|份|則|则)(?:文章|筆記|笔记)?|此(?:文|篇|筆記|笔记))(?:內容|内容)?"
-    f"(?:主要|詳細|详细|深入|簡要|简要|旨在)?(?:{_ZH_VERBS})了?|(?:筆記|笔记)(?:內容|内容)?(?:主要|詳細|详细|深入|簡要|简要)?(?:{_ZH_VERBS})了)[：:，,、]?\\s*"
-)
+def opener(subjects: Iterable[str], verbs: Iterable[str], article: str = "", gap: str = " ") -> re.Pattern:
+    """A matcher of openings such as \"This note describes\": a subject and a verb at the beginning, and what separates them from the rest."""
+    one = lambda words: "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+    return re.compile(rf"(?:{article})(?:{one(subjects)}){gap}(?:{one(verbs)})(?=\W|$|(?<=[^\x00-\x7F]))[\s:：,，、]*", re.I)
+
+
+#: The openings that are left out where the caller gives no others.
+OPENERS = (opener(("note", "article", "text"), ("describes", "discusses", "explains", "covers", "summarizes"), article="(?:this|the) "),)
 
 
-def strip_boilerplate(text: str) -> str:
+def strip_boilerplate(text: str, openers: Iterable[re.Pattern] = OPENERS) -> str:
+    """The text with its blanks folded, without one opening."""
     folded = " ".join(text.split())
-    return _EN_OPENER.sub("", _ZH_OPENER.sub("", folded, count=1), count=1).strip()
+    starts = (m for m in (o.match(folded) for o in openers) if m)
+    return folded[max((m.end() for m in starts), default=0) :].strip()
 
 
 def pick_group_label(tags: list[str] | None, description: str | None, on_canvas: dict[str, int], in_vault: dict[str, int], width: int = 20) -> str | None:
@@ -365,28 +376,35 @@ def strip_invisibles(text: str, new: str = "") -> str:
     return _HIDDEN.sub("", "".join(new if unicodedata.category(c) in ("Cc", "Cf") else c for c in text))
 
 
-def parse_generated(raw: str, most: int = 1000, most_tag: int = 64) -> dict:
-    """Description and tags of a model's answer: JSON, perhaps fenced, else the plain text; broken JSON gives nothing."""
-    def read(text: str):
+def _object_in(answer: str) -> dict | None:
+    """The JSON object of an answer, without the fence around it; an empty one for a list, None where there is no JSON."""
+    for candidate in (answer, re.sub(r"```(?:json)?", "", answer)):
         try:
-            found = json.loads(text)
+            value = json.loads(candidate.strip())
         except ValueError:
-            return None
-        if not isinstance(found, (dict, list)):
-            return None
-        found = found if isinstance(found, dict) else {}
-        text = next((found[k] for k in ("description", "summary") if isinstance(found.get(k), str)), "")
-        tags = found.get("tags")
-        tags = re.split(r"[\s,、，]+", tags) if isinstance(tags, str) else tags if isinstance(tags, list) else []
-        tags = [re.sub(r"\s+", "_", strip_invisibles(str(t)))[:most_tag] for t in tags]
-        tags = [t for t in tags if t not in ("", "...", ELLIPSIS)]
-        return {"description": strip_invisibles(text, " ")[:most], "tags": tags or None}
-
-    bare = re.sub(r"```json\n?|\n?```", "", raw).strip()
-    found = read(raw) or read(bare)
-    if found:
-        return found
-    return {"description": "" if bare.startswith("{") else strip_invisibles(raw[:most], " "), "tags": None}
+            continue
+        if isinstance(value, dict):
+            return value
+        if isinstance(value, list):
+            return {}
+    return None
+
+
+def _tag_list(value, most: int) -> list[str] | None:
+    words = re.split(r"[\s,、，]+", value) if isinstance(value, str) else value if isinstance(value, list) else ()
+    clean = (strip_invisibles("_".join(str(w).split()))[:most] for w in words)
+    return [w for w in clean if w.strip(".…")] or None
+
+
+def parse_generated(raw: str, most: int = 1000, most_tag: int = 64) -> dict:
+    """Description and tags of a model's answer. Rule: the fields of its JSON object (a description may be called summary); an answer that isn't
+    JSON is the description itself, unless it looks like a broken object: that gives nothing."""
+    found = _object_in(raw)
+    if found is None:
+        broken = re.sub(r"```(?:json)?", "", raw).lstrip().startswith("{")
+        found = {} if broken else {"description": raw[:most]}
+    told = [found[k] for k in ("description", "summary") if isinstance(found.get(k), str)]
+    return {"description": strip_invisibles(told[0], " ")[:most] if told else "", "tags": _tag_list(found.get("tags"), most_tag)}
 
 
 def strip_reasoning(text: str) -> str:
@@ -400,40 +418,51 @@ def strip_reasoning(text: str) -> str:
     raise ValueError("reasoning without a final answer")
 
 
-def insert_related_link(content: str, heading: str, link: str) -> str | None:
-    """The note with a bullet for the link at the end of the section under the heading (made at the end of the note if it's missing); null if the
-    section has the link. Frontmatter and code fences are left alone, and an open fence at the end is closed."""
-    heading, bullet, lines = heading.strip(), f"- {link}", content.split("\n")
-    hidden = set()
-    at = 0
-    if lines[0].strip() == "---":
-        stop = next((i for i in range(1, len(lines)) if lines[i].strip() == "---"), len(lines) - 1)
-        hidden.update(range(stop + 1))
-        at = stop + 1
-    fence, fence_at = None, -1
-    for i in range(at, len(lines)):
-        mark = re.match(r"\s{0,3}(`{3,}|~{3,})", lines[i])
-        if fence:
-            hidden.add(i)
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
-                fence = None
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+
+
+def _line_kinds(lines: list[str]) -> tuple[list[str], str | None]:
+    """What each line is (meta, code, head or text), and the mark of a code block left open."""
+    kinds, open_ = [], None
+    meta = lines[0].strip() == "---"
+    for i, line in enumerate(lines):
+        mark = _FENCE.match(line)
+        if meta:
+            kinds.append("meta")
+            meta = i == 0 or line.strip() != "---"
+        elif open_:
+            kinds.append("code")
+            if mark and mark[1].startswith(open_):
+                open_ = None
         elif mark:
-            fence, fence_at = mark[1], i
-            hidden.add(i)
-    begin = next((i for i, x in enumerate(lines) if i not in hidden and x.strip() == heading), None)
-    if begin is None:
-        body = content.rstrip("\n")
-        if not body:
-            return f"{heading}\n{bullet}\n"
-        closing = f"{fence}\n" if fence else ""
-        return f"{body}\n{closing}\n{heading}\n{bullet}\n"
-    end = next((i for i in range(begin + 1, len(lines)) if i not in hidden and re.match(r"#{1,6}\s", lines[i])), len(lines))
-    if any(link in x for x in lines[begin + 1 : end]):
+            kinds.append("code")
+            open_ = mark[1]
+        else:
+            kinds.append("head" if re.match(r"#{1,6}\s", line) else "text")
+    return kinds, open_
+
+
+def insert_related_link(content: str, heading: str, link: str) -> str | None:
+    """The note with a bullet for the link in the section under the heading, after the section's last line with text; null if the section has the
+    link. Rule for the rest: front matter and code are neither headings nor sections' ends; a missing section is added at the
+    note's end; code left open is closed before that, or gets the bullet in front of it."""
+    title, bullet, lines = heading.strip(), f"- {link}", content.split("\n")
+    kinds, open_ = _line_kinds(lines)
+    free = [i for i, kind in enumerate(kinds) if kind in ("head", "text")]
+    start = next((i for i in free if lines[i].strip() == title), None)
+    if start is None:
+        kept = content.rstrip("\n")
+        added = [kept, *([open_] if open_ else []), "", title] if kept else [title]
+        return "\n".join([*added, bullet, ""])
+    stop = next((i for i in free if i > start and kinds[i] == "head"), len(lines))
+    section = range(start + 1, stop)
+    if any(link in lines[i] for i in section):
         return None
-    place = next((i + 1 for i in range(end - 1, begin, -1) if lines[i].strip()), begin + 1)
-    if fence and fence_at > begin and place > fence_at:
-        place = fence_at
-    return "\n".join([*lines[:place], bullet, *lines[place:]])
+    if open_ and stop == len(lines):
+        tail = next(i for i in range(len(lines), 0, -1) if kinds[i - 1] != "code")  # the open block begins here
+        section = range(start + 1, max(tail, start + 1))
+    place = max((i for i in section if lines[i].strip()), default=start) + 1
+    return "\n".join(lines[:place] + [bullet] + lines[place:])
 
 
 def insert_related_link_col(content, heading, link):
