@@ -44,7 +44,12 @@ SYLLABLES = {
     "latin": ["bar", "ben", "dor", "el", "fin", "gar", "hol", "kan", "lam", "mor", "nel", "par", "ros", "san", "tor", "win"],
     "cyrillic": ["бар", "бел", "вор", "дан", "гор", "жил", "зай", "кам", "лом", "мар", "нов", "пет", "рос", "сев", "тол", "чер"],
 }
-_HONORIFIC = "(?:" + "|".join(sorted(MALE + FEMALE + EITHER + [x.upper() for x in ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau")], key=len, reverse=True)) + r")\.?|(?:" + "|".join(ABBREVIATED) + r")\."
+_WHOLE = sorted([*MALE, *FEMALE, *EITHER, *(x.upper() for x in ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau"))], key=len, reverse=True)
+#: The first letters are tested before the list is.
+_HONORIFIC = (
+    rf"(?=[A-Z])(?:{'|'.join(x for x in _WHOLE if x[0] < 'a')})\.?|(?=[{''.join(sorted({x[0] for x in ABBREVIATED}))}]\p{{Ll}}{{1,3}}\.)(?:{'|'.join(ABBREVIATED)})\."
+    rf"|(?=\p{{IsCyrillic}})(?:{'|'.join(x for x in _WHOLE if x[0] > 'z')})\.?"
+)
 _TITLE = rf"(?:(?:{_HONORIFIC})[ ]){{1,2}}"
 _NAME = r"(?:\p{Lu}[\p{Ll}\p{M}]+|\p{Lu}{2,})(?:[-'’](?:\p{Lu}[\p{Ll}\p{M}]+|\p{Lu}{2,}))*(?!\p{L})"
 _LABEL = r"(?i:password|passwd|passphrase|pwd|secret|secret[_-]key|token|api[_-]?key|access[_-]key|auth[_-]key|private[_-]key|credential)"
@@ -53,40 +58,38 @@ _PHONE_LABEL = r"(?i:tel|telephone|phone|mobile|fon|telefon|fax|тел)"
 #: Types and their patterns, in order of precedence.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"(?<={_LABEL}(?: ?[=:] ?[\"']?))[A-Za-z0-9+/_.-]{{8,}}(?<![.])|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b",
+    "secret": rf"(?<=[=:] ?[\"']?)(?<={_LABEL} ?[=:] ?[\"']?)[A-Za-z0-9+/_.-]{{8,}}(?<![.])|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|(?<![\w:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_GROUP}:){{7}}{_GROUP}|{_GROUP}(?::{_GROUP}){{0,5}}::(?:{_GROUP}(?::{_GROUP}){{0,5}})?)(?![\w:]|\.[0-9])",
     "card": r"(?<![0-9-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?![0-9-])|(?<![0-9-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9-.])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-.])"
-    rf"|(?<={_PHONE_LABEL}[.:]{{0,2}} {{0,2}})0[0-9]{{1,5}}(?:[ /.-]?[0-9]{{2,8}}){{1,4}}(?![0-9])",
+    rf"|(?=0[0-9])(?<={_PHONE_LABEL}[.:]{{0,2}} {{0,2}})0[0-9]{{1,5}}(?:[ /.-]?[0-9]{{2,8}}){{1,4}}(?![0-9])",
     "name": rf"{_TITLE}{_NAME}(?:[ ]{_NAME})?",
 }
 #: Within a word no entity begins: most places of a text are tested no further.
 ENTITY = r"(?<!\p{L})(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-#: A quick test that every text with an entity passes.
-HINT = rf"[0-9@]|(?:{_HONORIFIC}) |{_LABEL}|AKIA|ASIA"
 #: What each type looks like without its surroundings, where that is not its pattern.
 _BARE = {"phone": PATTERNS["phone"] + r"|0[0-9]{1,5}(?:[ /.-]?[0-9]{2,8}){1,4}", "name": rf"{PATTERNS['name']}|{_NAME}"}
 #: A mark around entities, and what escapes it in texts that have it.
 _MARK, _ESCAPE = "\ufdd0", "\ufdd1"
 
 
-def mark_entities(text: Column) -> Column:
-    """A text as an array that alternates what is kept and an entity, from the former; null for a text without entities and for null."""
+def _with_parts(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """docs with a text's parts: an array that alternates what is kept and an entity, from the former; null for a text without entities and for null. In
+    a text with persons their family names, where they stand alone, are further entities. Each step is a column of its own, so that it is
+    computed once."""
+    text, families = F.col(text_col), free_name(docs, "entity_families")
     plain = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_MARK), F.lit(_ESCAPE + "a"))
-    parts = F.split(F.regexp_replace(plain, ENTITY, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    return F.when(text.rlike(HINT), F.when(F.size(parts) > 1, parts))
-
-
-def mark_families(parts: Column) -> Column:
-    """The same array with the family names of its persons, where they stand alone, as further entities."""
-    named = F.filter(parts, lambda x, i: (i % 2 == 1) & x.rlike(f"^{_TITLE}"))
-    families = F.array_distinct(F.filter(F.transform(named, lambda x: F.element_at(F.split(x, " "), -1)), lambda x: F.length(x) > 2))
+    out = docs.withColumn(name, F.split(F.regexp_replace(plain, ENTITY, f"{_MARK}$0{_MARK}"), _MARK, -1))
+    out = out.withColumn(name, F.when(F.size(name) > 1, F.col(name)))
+    persons = F.filter(name, lambda x, i: (i % 2 == 1) & x.rlike(f"^{_TITLE}"))
+    last = F.transform(persons, lambda x: F.element_at(F.split(x, " "), -1))
+    out = out.withColumn(families, F.array_distinct(F.filter(last, lambda x: F.length(x) > 2)))
     quoted = F.transform(families, lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(quoted, "|"), F.lit(r")(?!\p{L})"))
-    again = F.transform(parts, lambda x, i: F.when(i % 2 == 1, x).otherwise(F.regexp_replace(x, pattern, F.lit(f"{_MARK}$0{_MARK}"))))
-    return F.when(F.size(families) > 0, F.split(F.array_join(again, _MARK), _MARK, -1)).otherwise(parts)
+    out = out.withColumn(families, F.when(F.size(families) > 0, F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(quoted, "|"), F.lit(r")(?!\p{L})"))))
+    again = F.transform(name, lambda x, i: F.when(i % 2 == 1, x).otherwise(F.regexp_replace(x, F.col(families), F.lit(f"{_MARK}$0{_MARK}"))))
+    return out.withColumn(name, F.when(F.col(families).isNotNull(), F.split(F.array_join(again, _MARK), _MARK, -1)).otherwise(F.col(name))).drop(families)
 
 
 def entity_type(value: Column) -> Column:
@@ -271,7 +274,7 @@ def replace_entities(docs: DataFrame, key: str = "tessera-surrogates", id_col: s
     parts, row, found = (free_name(docs, x) for x in ("entity_parts", "entity_row", "entities_found"))
     names = ["n_entities", *(f"n_{x}" for x in PATTERNS)] if counts else []
     order = [*(c for c in docs.columns if c not in names), *names]
-    known = docs.withColumn(parts, mark_families(mark_entities(F.col(text_col)))).withColumn(row, F.monotonically_increasing_id())
+    known = _with_parts(docs, text_col, parts).withColumn(row, F.monotonically_increasing_id())
     known = materialize(known.withColumn(text_col, F.when(F.col(parts).isNull(), F.col(text_col))), "marked")
     touched = known.filter(F.col(parts).isNotNull())
     places = touched.select(F.col(row).alias("row"), F.posexplode(parts).alias("at", "value")).filter("at % 2 = 1")
