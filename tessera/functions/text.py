@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Blanks that trimming and folding take in: Unicode white space and the byte order mark.
 BLANK = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: One token run: CJK (without the emoji planes), word characters, or one supplementary character (fixed classes).
 TOKEN_RUN = r"[\x{3400}-\x{9FFF}\x{A000}-\x{D7FF}\x{E000}-\x{FAFF}]+|[A-Za-z0-9_-]+|[\x{10000}-\x{10FFFF}]"
 CJK_RUN = r"^[\x{3400}-\x{9FFF}\x{A000}-\x{D7FF}\x{E000}-\x{FAFF}]"
@@ -23,8 +24,8 @@ def fold_ascii(c: Column) -> Column:
 
 
 def trim_all(c: Column) -> Column:
-    """Without Unicode white space at either end."""
-    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    """Without Unicode white space at either end. Only the ends are looked at."""
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def normalize_for_search(c: Column, simplify: tuple[str, str] | None = None) -> Column:
@@ -32,7 +33,7 @@ def normalize_for_search(c: Column, simplify: tuple[str, str] | None = None) ->
     simplified); one more variant follows in any case."""
     if simplify:
         c = F.translate(c, *simplify)
-    return F.translate(c, "画", "划")
+    return F.replace(c, F.lit("画"), F.lit("划"))
 
 
 def tokenize(c: Column, bigrams: bool = False) -> Column:
@@ -48,9 +49,11 @@ def tokenize(c: Column, bigrams: bool = False) -> Column:
             cjk = F.when(F.length(run) >= 3, F.concat(cjk, grams(run, 2))).otherwise(cjk)
         return F.when(run.rlike(CJK_RUN), cjk).otherwise(F.array(fold_ascii(run)))
 
-    # Most texts have word runs only: folded as a whole, they need no step for each token.
+    # Most texts have word runs only: folded as a whole (all of it is ASCII by then), they need no step for each token. ASCII texts aren't searched for others.
     mixed = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(TOKEN_RUN), F.lit(0)), one))
-    return F.when(c.rlike(BEYOND_WORDS), mixed).otherwise(F.regexp_extract_all(fold_ascii(c), F.lit("[a-z0-9_-]+"), F.lit(0)))
+    words = F.lower(F.array_join(F.regexp_extract_all(c, F.lit("[A-Za-z0-9_-]+"), F.lit(0)), " "))
+    plain = F.when(F.length(words) > 0, F.split(words, " ")).otherwise(F.array().cast("array<string>"))
+    return F.when((F.octet_length(c) != F.length(c)) & c.rlike(BEYOND_WORDS), mixed).when(c.isNotNull(), plain)
 
 
 def query_tokens(c: Column) -> Column:
@@ -97,11 +100,10 @@ def chunk_windows(df: DataFrame, body: str, title: str | None = None, size: int
     """Explode each row into (chunk_index, content): windows of size characters that share overlap ones, each after the title. An
     overlap of the size or more counts as none; an empty body gives the title alone."""
     step = size - (overlap if overlap < size else 0)
-    text = trim_all(F.col(body))
-    n = F.length(text)
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int"))
+    n = F.length("_text")
+    last = F.when(F.col(body).isNull(), F.lit(None)).when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int"))
     prefix = F.when(F.length(F.col(title)) > 0, F.concat(F.col(title), F.lit("\n"))).otherwise("") if title else F.lit("")
-    out = df.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_prefix", prefix)
+    out = df.withColumn("_text", F.coalesce(trim_all(F.col(body)), F.lit(""))).withColumn("_prefix", prefix)
     out = out.withColumn("_last", last).filter("_last IS NOT NULL").withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("_last"))))
     content = F.when(F.length("_text") == 0, F.rtrim(F.regexp_replace("_prefix", r"\n$", ""))).otherwise(
         F.concat("_prefix", F.substr("_text", F.col("chunk_index") * step + 1, F.lit(size)))

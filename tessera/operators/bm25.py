@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.sources.scratch import stored
 
 K1, B, TF_CAP = 1.5, 0.75, 65535
 DESCRIPTION = -1  # chunk_index of a note's description
 
 
+#: The form of stored indexes and of their tokens: others are built anew.
+FORM = 2
+#: Folders that a stored index deals its terms to, by their hash: a query reads those of its terms.
+BUCKETS = 64
+
+
 @dataclass(frozen=True)
 class Index:
-    """postings(term, path, chunk_index, tf), docs(path, chunk_index, dl) and stats(n_docs, avgdl)."""
+    """postings(term, path, chunk_index, tf, dl), docs(path, chunk_index, dl) and stats(n_docs, avgdl)."""
 
     postings: DataFrame
     docs: DataFrame
@@ -49,8 +56,55 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, bigrams: bool = True, simplify: tuple[str, str] | None = None) -> Index:
+    """The index as a plan. The length of a document stands beside each of its terms, so that a query needs no join with all documents."""
+    tokens = text.tokenize(text.normalize_for_search(F.col("content"), simplify), bigrams)
+    rows = docs.select("path", "chunk_index", tokens.alias("tokens"), F.coalesce(F.size(tokens), F.lit(0)).alias("dl"))
+    postings = rows.select("path", "chunk_index", "dl", F.explode("tokens").alias("term")).groupBy("path", "chunk_index", "term", "dl")
+    postings = postings.agg(F.least(F.count(F.lit(1)), F.lit(TF_CAP)).cast("int").alias("tf"))
     lengths = doc_lengths(docs, bigrams, simplify)
-    return Index(term_counts(docs, bigrams, simplify), lengths, corpus_stats(lengths))
+    return Index(postings.select("term", "path", "chunk_index", "tf", "dl"), lengths, corpus_stats(lengths))
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def save_index(index: Index, folder: str, version: str, buckets: int = BUCKETS) -> None:
+    """Write an index for a version of its documents. The stamp comes last: an index without it is none."""
+    spark = index.postings.sparkSession
+    index.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+    dealt = index.postings.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("term", "path"), F.lit(8))).sortWithinPartitions("bucket", "term")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    corpus_stats(spark.read.parquet(f"{folder}/docs")).write.mode("overwrite").parquet(f"{folder}/stats")
+    spark.createDataFrame([(FORM, version, buckets)], "form int, version string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/stamp")
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index in a folder."""
+
+    spark: SparkSession
+    folder: str
+    buckets: int
+
+    def read(self, terms: DataFrame | None = None) -> Index:
+        """The index; with terms (a query's few), only their folders and rows of the postings are read."""
+        part = lambda name: self.spark.read.parquet(f"{self.folder}/{name}")
+        postings = part("postings")
+        if terms is not None:
+            wanted = terms.select("term", _bucket(F.col("term"), self.buckets).alias("bucket")).collect()
+            postings = postings.filter(F.col("bucket").isin(sorted({r.bucket for r in wanted})) & F.col("term").isin([r.term for r in wanted]))
+        return Index(postings.select("term", "path", "chunk_index", "tf", "dl"), part("docs"), part("stats"))
+
+
+def load_index(spark: SparkSession, folder: str, version: str) -> StoredIndex | None:
+    """The stored index of this version of the documents, or None: it is to be built anew."""
+    jvm = spark.sparkContext._jvm
+    stamp = jvm.org.apache.hadoop.fs.Path(f"{folder}/stamp/_SUCCESS")
+    if not stamp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(stamp):
+        return None
+    row = spark.read.parquet(f"{folder}/stamp").first()
+    return StoredIndex(spark, folder, row.buckets) if (row.form, row.version) == (FORM, version) else None
 
 
 def query_terms(spark, query: str, simplify: tuple[str, str] | None = None) -> DataFrame:
@@ -69,34 +123,36 @@ def idf(postings: DataFrame, stats: DataFrame, terms: DataFrame | None = None) -
 
 
 def score(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(path, chunk_index, score) of the documents that have a term of the query. Only the query's postings leave the scan."""
+    """(path, chunk_index, score) of the documents that have a term of the query. Only the query's postings leave the scan; nothing else is joined."""
     hits = index.postings.join(F.broadcast(terms), "term")
     weights = idf(index.postings, index.stats, terms)
-    rows = hits.join(F.broadcast(weights), "term").join(index.docs, ["path", "chunk_index"]).crossJoin(F.broadcast(index.stats))
+    rows = hits.join(F.broadcast(weights), "term").crossJoin(F.broadcast(index.stats))
     length = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(0.0)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
     return rows.groupBy("path", "chunk_index").agg(F.sum(part).alias("score"))
 
 
 def score_text(docs: DataFrame, query: str, bigrams: bool = False, k1: float = K1, b: float = B, simplify: tuple[str, str] | None = None) -> DataFrame:
-    """As score, in one pass over the texts without an index: each document counts the query's terms in its own tokens, so that
-    nothing but one row of document frequencies is shuffled."""
+    """As score, in one pass over the texts without an index: each document's length and counts of the query's terms are written once, and the
+    statistics and the scores come from that table."""
     tokens = text.tokenize(text.normalize_for_search(F.col("content"), simplify), bigrams)
     wanted = [(r.term, r.qtf) for r in query_terms(docs.sparkSession, query, simplify).collect()]
     rows = docs.select("path", "chunk_index", tokens.alias("tokens"))
     counts = [F.size(F.col("tokens")) - F.size(F.array_remove("tokens", t)) for t, _ in wanted]
-    rows = rows.select("path", "chunk_index", F.size("tokens").alias("dl"), *[F.least(c, F.lit(TF_CAP)).alias(f"tf{i}") for i, c in enumerate(counts)])
+    rows = stored(rows.select("path", "chunk_index", F.size("tokens").alias("dl"), *[F.least(c, F.lit(TF_CAP)).alias(f"tf{i}") for i, c in enumerate(counts)]), "counts")
     stats = rows.agg(
         F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"),
         *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))],
     )
+    hit = F.lit(False)
+    for i in range(len(wanted)):
+        hit = hit | (F.col(f"tf{i}") > 0)
     length = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(0.0)
     total = F.lit(0.0)
     for i, (_, qtf) in enumerate(wanted):
         weight = F.log((F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
         total = total + qtf * weight * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * length))
-    # Every weight is above 0, so a score above 0 is a hit. A test of the counts themselves would be pushed below them and tokenise again.
-    return rows.crossJoin(F.broadcast(stats)).select("path", "chunk_index", total.alias("score")).filter("score > 0")
+    return rows.filter(hit).crossJoin(F.broadcast(stats)).select("path", "chunk_index", total.alias("score"))
 
 
 def top(scores: DataFrame, limit: int) -> DataFrame:

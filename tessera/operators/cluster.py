@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -111,7 +114,9 @@ def hdbscan(points: np.ndarray, min_size: int, min_samples: int = MIN_SAMPLES) -
 
 
 def cluster_vectors(rows: DataFrame, key: str = "path", vec: str = "vec") -> DataFrame:
-    """rows with label (-1: noise). One group in one task: the caller's results, at most 100 by the size gate."""
+    """rows with label (-1: noise). One group in one task: a search's results; more than the size gate lets through (100) are refused."""
+    if rows.limit(101).count() > 100:
+        raise ValueError("a table of contents is made of at most 100 notes")
     names = rows.columns
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -145,6 +150,24 @@ def render_contents(sections: DataFrame, query: str) -> DataFrame:
     return ordered.select(F.concat(F.lit(f"# {query}\n\n"), F.array_join(F.transform("x", lambda s: s["t"]), "\n")).alias("markdown"))
 
 
+def contents(clustered: DataFrame, query: str, name_topic: Callable[[list[str]], str] | None = None) -> DataFrame:
+    """One row (markdown): sections by cluster, named by a language model where there is one (titles to name; a failure leaves the best note's title), or
+    the flat list where there is one cluster at most."""
+    sections = grouped_contents(clustered).collect()  # at most 50: the gate bounds the notes
+    if is_flat({r.label for r in sections}):
+        return flat_contents(clustered)
+    named = []
+    for r in sections:
+        title = r.title
+        if name_topic is not None and r.label != -1:
+            try:
+                title = name_topic(re.findall(r"\|(.*?)\]\]", r.lines)).strip() or title
+            except (OSError, ValueError):  # no network, or no usable answer
+                pass
+        named.append((r.label, title, r.notes, r.lines))
+    return render_contents(clustered.sparkSession.createDataFrame(named, "label long, title string, notes long, lines string"), query)
+
+
 def flat_contents(results: DataFrame) -> DataFrame:
     """One row (markdown): hot notes, then cold ones, each by score."""
     line = F.concat(F.lit("- "), F.lit("[["), F.regexp_replace("path", r"\.md$", ""), F.lit("]]"))

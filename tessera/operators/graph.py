@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,42 +22,90 @@ def usable(notes: DataFrame) -> DataFrame:
     return notes.filter(F.col("vec").isNotNull() & (F.size("vec") > 0) & vector.is_finite(F.col("vec"))).select("path", F.regexp_extract("path", r"^(.*)/", 1).alias("folder"), "vec")
 
 
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.select("path", "folder", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("b"))
+
+
+def _best_of_block(x: np.ndarray, own: pd.DataFrame, others: pd.DataFrame, k: int, cap: int) -> pd.DataFrame:
+    """For each row of own the best k of the other folders and the best cap of its own among others (sorted by path)."""
+    sims = x @ np.stack(others.vec.to_numpy()).astype(np.float64).T
+    names, folders = others.path.to_numpy(), others.folder.to_numpy()
+    src, dst, sim, near = [], [], [], []
+    for path, folder, row in zip(own.path, own.folder, sims, strict=True):
+        order = np.argsort(-row, kind="stable")  # equal ones in the order of their paths
+        order = order[names[order] != path]
+        same = folders[order] == folder
+        kept = np.concatenate([order[~same][:k], order[same][:cap]])
+        src += [path] * len(kept)
+        dst += names[kept].tolist()
+        sim += row[kept].tolist()
+        near += (folders[kept] == folder).tolist()
+    return pd.DataFrame({"src": src, "dst": dst, "sim": sim, "same": near})
+
+
+def _trim(found: pd.DataFrame, k: int, cap: int) -> pd.DataFrame:
+    """The best of each src so far: what later blocks can't need any more goes."""
+    found = found.sort_values(["src", "sim", "dst"], ascending=[True, False, True], kind="stable")
+    nth = found.groupby(["src", "same"], sort=False).cumcount()
+    return found[nth < np.where(found.same, cap, k)]
+
+
+def _nearest(mine: DataFrame, rows: DataFrame, k: int, cap: int, block: int) -> DataFrame:
+    """(src, dst, sim, same): for each of mine its best among rows. A block of mine meets all blocks of rows one after the other in a task, which holds
+    two blocks and the best so far: a row's candidates leave it once."""
+    left_blocks, right_blocks = (max(1, -(-x.count() // block)) for x in (mine, rows))
+    a = _dealt(mine, left_blocks).select("dim", F.col("b").alias("p"), F.lit(-1).alias("q"), "path", "folder", "vec")
+    b = _dealt(rows, right_blocks).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)))).select("dim", "p", F.col("b").alias("q"), "path", "folder", "vec")
+    both = a.unionByName(b).repartition("dim", "p").sortWithinPartitions("dim", "p", "q", "path")
+
+    def rows_of(found: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({c: found[c].tolist() for c in ("src", "dst", "sim", "same")})
+
+    def run(parts):
+        key = own = x = best = None
+        pending: list[pd.DataFrame] = []
+        at = None
+
+        def settle():
+            nonlocal own, x, best
+            if not pending:
+                return
+            now = pd.concat(pending, ignore_index=True)
+            pending.clear()
+            if at == -1:
+                own, best = now, None
+                x = np.stack(own.vec.to_numpy()).astype(np.float64)
+            elif own is not None:
+                for i in range(0, len(own), 512):
+                    found = _best_of_block(x[i : i + 512], own[i : i + 512], now, k, cap)
+                    best = found if best is None else pd.concat([best, found], ignore_index=True)
+                best = _trim(best, k, cap)
+
+        for part in parts:
+            for now, group in part.groupby(["dim", "p", "q"], sort=False):
+                if now[:2] != key or now[2] != at:
+                    settle()
+                    if now[:2] != key:
+                        if best is not None and len(best):
+                            yield rows_of(best)
+                        key, own, best = now[:2], None, None
+                    at = now[2]
+                pending.append(group)
+        settle()
+        if best is not None and len(best):
+            yield rows_of(best)
+
+    return both.mapInPandas(run, "src string, dst string, sim double, same boolean")
+
+
 def knn_picks(notes: DataFrame, k: int = K, folder_cap: int | None = FOLDER_CAP, block: int = BLOCK) -> DataFrame:
     """(src, dst, sim, pick_rank): for each note the k most similar others of its dimension, at most folder_cap from its own folder (0 or null: no cap).
 
-    Vectors are dealt to blocks of bounded size; every pair of blocks is one small matrix product, which keeps only each note's best k of the
-    other folders and best cap of its own, and the best of all blocks are picked in a window by note.
+    Exact, so all pairs are multiplied, as products of blocks; each block is sent once to each block it meets, and a note's best leave the task once.
     """
     rows = usable(notes)
     cap = folder_cap if folder_cap and folder_cap > 0 else k
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    dealt = rows.select("path", "folder", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("b"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", F.col("b").alias("p"), F.col("other").alias("q"), "path", "folder", "vec")
-    right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", F.col("other").alias("p"), F.col("b").alias("q"), "path", "folder", "vec")
-
-    def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"src": [], "dst": [], "sim": [], "same": []}
-        if len(a) and len(b):
-            a, b = a.sort_values("path"), b.sort_values("path")
-            x, y = np.stack(a.vec.to_numpy()).astype(np.float64), np.stack(b.vec.to_numpy()).astype(np.float64)
-            names, folders = b.path.to_numpy(), b.folder.to_numpy()
-            for at in range(0, len(x), 256):
-                sims = x[at : at + 256] @ y.T
-                for i, row in enumerate(sims):
-                    path, folder = a.path.iat[at + i], a.folder.iat[at + i]
-                    order = np.argsort(-row, kind="stable")  # equal ones in the order of their paths
-                    order = order[names[order] != path]
-                    same = folders[order] == folder
-                    kept = np.concatenate([order[~same][:k], order[same][: (cap if folder_cap else k)]])
-                    out["src"] += [path] * len(kept)
-                    out["dst"] += names[kept].tolist()
-                    out["sim"] += row[kept].tolist()
-                    out["same"] += (folders[kept] == folder).tolist()
-        return pd.DataFrame(out)
-
-    found = left.groupBy("dim", "p", "q").cogroup(right.groupBy("dim", "p", "q")).applyInPandas(best, "src string, dst string, sim double, same boolean")
-    return pick(found, k, cap)
+    return pick(_nearest(rows, rows, k, cap, block), k, cap)
 
 
 def pick(found: DataFrame, k: int, cap: int) -> DataFrame:
@@ -76,10 +126,48 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "sim").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "sim"))
 
 
-def edge_percentile(edges: DataFrame, percent: float = PERCENTILE) -> DataFrame:
-    """One row: the percentile of the similarities by linear interpolation; 0 without edges."""
+def edge_percentile(edges: DataFrame, percent: float = PERCENTILE, most: int = 100_000) -> DataFrame:
+    """One row: the percentile of the similarities by linear interpolation; 0 without edges. Exact: ranges around the two values wanted are
+    narrowed by counts until few different values are left, and these are walked in order."""
+    spark = edges.sparkSession
     p = min(100.0, max(0.0, percent)) / 100
-    return edges.agg(F.coalesce(F.percentile("sim", p), F.lit(0.0)).alias("threshold"))
+    values = edges.filter("sim IS NOT NULL").select("sim")
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("sim"), F.max("sim")).first()
+    answer = lambda x: spark.createDataFrame([(float(x),)], "threshold double")
+    if not n:
+        return answer(0.0)
+    at = (n - 1) * p
+    wanted = sorted({math.floor(at), math.ceil(at)})
+    below, inside = 0, n
+    while inside > most:
+        cuts = sorted({low, *values.filter(F.col("sim").between(low, high)).approxQuantile("sim", [i / 64 for i in range(65)], 1e-4), high})
+        place = F.lit(0)
+        for x in cuts[1:]:
+            place = place + (F.col("sim") >= x).cast("int")
+        counts = {r.place: r.n for r in values.filter(F.col("sim").between(low, high)).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        start, first, last, before = below, None, 0, 0
+        for i in range(len(cuts)):
+            stop = start + counts.get(i, 0)
+            if stop > wanted[0] and first is None:
+                first, before = i, start
+            if start <= wanted[-1]:
+                last = i
+            start = stop
+        upper = cuts[last + 1] if last + 1 < len(cuts) else high
+        if (cuts[first], upper) == (low, high):
+            break  # values that repeat: they are few
+        low, high, below = cuts[first], upper, before
+        inside = values.filter(F.col("sim").between(low, high)).count()
+    found, seen = {}, below
+    for r in values.filter(F.col("sim").between(low, high)).groupBy("sim").agg(F.count(F.lit(1)).alias("n")).orderBy("sim").toLocalIterator():
+        for w in wanted:
+            if seen <= w < seen + r.n:
+                found[w] = r.sim
+        seen += r.n
+        if len(found) == len(wanted):
+            break
+    a, b = found[wanted[0]], found[wanted[-1]]
+    return answer(a + (b - a) * (at - math.floor(at)))
 
 
 def widest_path(edges: DataFrame, start: str, goal: str, hops: int = HOPS) -> DataFrame:
@@ -108,28 +196,27 @@ def path_verdict(edges: DataFrame, start: str, goal: str, hops: int = HOPS, perc
     return out.select(verdict.alias("verdict"), "path", "hops", "bottleneck", "threshold")
 
 
-def upsert_notes(notes: DataFrame, picks: DataFrame, changed: DataFrame, k: int = K, folder_cap: int = FOLDER_CAP) -> DataFrame:
+def upsert_notes(notes: DataFrame, picks: DataFrame, changed: DataFrame, k: int = K, folder_cap: int = FOLDER_CAP, block: int = BLOCK) -> DataFrame:
     """Picks after some notes changed: the changed ones pick anew among all, weights toward them are recomputed, other notes keep their
-    choices. notes holds the new vectors; changed (path) is small and broadcast. A changed note without a usable vector is removed."""
+    choices. notes holds the new vectors. A changed note without a usable vector is removed. The new picks come from block products, the weights from
+    equi-joins; how many notes changed decides nothing but the work."""
     rows = usable(notes)
-    mine = rows.join(F.broadcast(changed), "path", "left_semi")
-    a = mine.select(F.col("path").alias("src"), F.col("folder").alias("fa"), F.col("vec").alias("va"))
-    b = rows.select(F.col("path").alias("dst"), F.col("folder").alias("fb"), F.col("vec").alias("vb"))
-    near = b.join(F.broadcast(a), (F.col("src") != F.col("dst")) & (F.size("va") == F.size("vb")))
-    found = near.select("src", "dst", vector.dot(F.col("va"), F.col("vb")).alias("sim"), (F.col("fa") == F.col("fb")).alias("same"))
-    own = pick(found, k, folder_cap if folder_cap > 0 else k)
-    kept = picks.join(F.broadcast(changed.select(F.col("path").alias("src"))), "src", "left_anti")
-    gone = changed.join(mine.select("path"), "path", "left_anti")
-    kept = kept.join(F.broadcast(gone.select(F.col("path").alias("dst"))), "dst", "left_anti")
-    toward = found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("sim").alias("new_sim"))
-    fresh = kept.join(toward, ["src", "dst"], "left").select("src", "dst", F.coalesce("new_sim", "sim").alias("sim"), "pick_rank")
-    return fresh.unionByName(own)
+    mine = rows.join(changed.select("path").distinct(), "path", "left_semi")
+    cap = folder_cap if folder_cap > 0 else k
+    own = pick(_nearest(mine, rows, k, cap, block), k, cap)
+    kept = picks.join(changed.select(F.col("path").alias("src")).distinct(), "src", "left_anti")
+    toward = kept.join(changed.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi")
+    others = kept.join(changed.select(F.col("path").alias("dst")).distinct(), "dst", "left_anti")
+    vb, va = mine.select(F.col("path").alias("dst"), F.col("vec").alias("vb")), rows.select(F.col("path").alias("src"), F.col("vec").alias("va"))
+    new = F.when(F.size("va") == F.size("vb"), vector.dot(F.col("va"), F.col("vb"))).otherwise(F.col("sim"))
+    fresh = toward.join(vb, "dst").join(va, "src", "left").select("src", "dst", F.coalesce(new, F.col("sim")).alias("sim"), "pick_rank")
+    return others.select("src", "dst", "sim", "pick_rank").unionByName(fresh).unionByName(own)
 
 
 def remove_notes(picks: DataFrame, gone: DataFrame) -> DataFrame:
     """Picks without the notes gone (path), in both directions; the places stay empty."""
-    src, dst = gone.select(F.col("path").alias("src")), gone.select(F.col("path").alias("dst"))
-    return picks.join(F.broadcast(src), "src", "left_anti").join(F.broadcast(dst), "dst", "left_anti").select("src", "dst", "sim", "pick_rank")
+    src, dst = gone.select(F.col("path").alias("src")).distinct(), gone.select(F.col("path").alias("dst")).distinct()
+    return picks.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select("src", "dst", "sim", "pick_rank")
 
 
 def rebuild_due(changed: int, total: int, flagged: bool, last_build_ms: int, now_ms: int) -> bool:

@@ -10,6 +10,7 @@ from tessera.functions import text, vector
 from tessera.functions.ranking import global_rank
 from tessera.functions.udfs import SNIPPET, build_snippet, jaro_winkler_to
 from tessera.operators import bm25, fusion
+from tessera.sources.scratch import stored
 
 WEIGHTS = {"bm25": 1.0, "semantic": 1.0, "fuzzy": 0.5}
 CHUNK_PENALTY = 0.02
@@ -68,17 +69,19 @@ def hybrid_search(
     expanded = text.expand_query(query, synonyms)
     pool = candidate_pool(top_results)
     docs = bm25.corpus(chunks, notes)
-    leg = keyword_leg(bm25.score_text(docs, expanded) if scores is None else scores, pool).cache()
+    leg = keyword_leg(bm25.score_text(docs, expanded) if scores is None else scores, pool)
+    leg = stored(leg, "leg")
     legs = [(leg.select("path", "rank"), weights["bm25"])]
     semantic = None
     if query_vec is not None:
-        semantic = semantic_scores(chunks, query_vec).cache()  # one short row for each note, read by the ranks, the fusion and the snippets
+        semantic = stored(semantic_scores(chunks, query_vec), "semantic")  # one short row for each note, read by the ranks, the fusion and the snippets
         semantic = global_rank(semantic, "score", "path")
         legs.append((semantic.select("path", "rank"), weights["semantic"]))
     legs.append((fusion.rank_map(fuzzy_titles(notes, query, pool)), weights["fuzzy"]))
     fused = fusion.fuse(legs)
-    candidates = chunks.join(F.broadcast(leg.select("path")), "path", "left_semi").select("path", "chunk_index", "content")
-    fused = fusion.boost(fused, verbatim_hits(notes, candidates, query))
+    candidates = _bodies(chunks, notes, leg.select("path"))
+    exact = verbatim_hits(notes, candidates, query)
+    fused = fusion.boost(fused, exact)
     best = fusion.top_n(fused, min(300, top_results * 3))
     rows = notes.select("path", "title", F.coalesce(F.col("tier"), F.lit("hot")).alias("tier"), "description").join(F.broadcast(best), "path")
     if live is not None:
@@ -86,13 +89,23 @@ def hybrid_search(
     if scope != "all":
         rows = rows.filter(F.col("tier") == scope)
     rows = rows.orderBy(F.desc("fused"), "path").limit(top_results)
-    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused"), "path"))).cache()
+    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused"), "path")))
+    rows = stored(rows, "rows")
     if not snippets:
         return rows.select("position", "path", "title", F.col("fused").alias("score"), "tier")
-    return _with_snippets(rows, chunks, leg, semantic, expanded, weights)
+    return _with_snippets(rows, chunks, leg, semantic, exact, query, expanded, weights)
 
 
-def _with_snippets(rows: DataFrame, chunks: DataFrame, leg: DataFrame, semantic: DataFrame | None, query: str, weights: dict[str, float]) -> DataFrame:
+def _bodies(chunks: DataFrame, notes: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, chunk_index, content) of the chunks of a few notes, without the title that chunking put before them."""
+    titles = notes.join(F.broadcast(paths), "path", "left_semi").select("path", "title")
+    rows = chunks.join(F.broadcast(titles), "path").select("path", "chunk_index", text.strip_chunk_prefix(F.col("content"), F.col("title")).alias("content"))
+    return rows
+
+
+def _with_snippets(
+    rows: DataFrame, chunks: DataFrame, leg: DataFrame, semantic: DataFrame | None, exact: DataFrame, phrase: str, query: str, weights: dict[str, float]
+) -> DataFrame:
     """Snippets for the few rows that are left."""
     tokens = [r[0] for r in rows.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(text.query_tokens(F.col("q")))).collect()]
     own = leg.select("path", F.col("rank").alias("kw_rank"), "real_chunk")
@@ -101,22 +114,26 @@ def _with_snippets(rows: DataFrame, chunks: DataFrame, leg: DataFrame, semantic:
         out = out.join(semantic.select("path", F.col("rank").alias("sem_rank"), F.col("chunk_index").alias("sem_chunk"), "chunks"), "path", "left")
     else:
         out = out.selectExpr("*", "CAST(NULL AS INT) sem_rank", "CAST(NULL AS INT) sem_chunk", "CAST(NULL AS BIGINT) chunks")
-    body = chunks.join(F.broadcast(rows.select("path")), "path", "left_semi").select("path", "chunk_index", "content").cache()
+    out = out.join(exact.withColumnRenamed("chunk_index", "exact_chunk"), "path", "left")
+    body = stored(_bodies(chunks, rows, rows.select("path")), "bodies")
+    parsed = text.parse_verbatim_query(phrase)
+    told = parsed[0] if parsed else None
     take = lambda name: body.select("path", F.col("chunk_index").alias(name), F.col("content").alias(f"{name}_text"))
-    out = out.join(take("real_chunk"), ["path", "real_chunk"], "left").join(take("sem_chunk"), ["path", "sem_chunk"], "left")
+    out = out.join(take("real_chunk"), ["path", "real_chunk"], "left").join(take("sem_chunk"), ["path", "sem_chunk"], "left").join(take("exact_chunk"), ["path", "exact_chunk"], "left")
     pair = (weights["bm25"], weights["semantic"])
 
     @F.pandas_udf(SNIPPET)
-    def make(kw_rank: pd.Series, sem_rank: pd.Series, kw: pd.Series, kw_text: pd.Series, desc: pd.Series, sem: pd.Series, sem_text: pd.Series, count: pd.Series) -> pd.DataFrame:
+    def make(kw_rank: pd.Series, sem_rank: pd.Series, kw: pd.Series, kw_text: pd.Series, desc: pd.Series, sem: pd.Series, sem_text: pd.Series, count: pd.Series, at: pd.Series, at_text: pd.Series) -> pd.DataFrame:
         made = []
-        for r in zip(kw_rank, sem_rank, kw, kw_text, desc, sem, sem_text, count, strict=True):
-            a, b, c, d, e, f, g, n = (None if pd.isna(x) else x for x in r)
+        for r in zip(kw_rank, sem_rank, kw, kw_text, desc, sem, sem_text, count, at, at_text, strict=True):
+            a, b, c, d, e, f, g, n, i, j = (None if pd.isna(x) else x for x in r)
             hit = (int(c), d) if d is not None else None
             near = (int(f), g) if g is not None else None
-            made.append(build_snippet(tokens, a and int(a), b and int(b), hit, e, near, pair, count=n and int(n)) or dict.fromkeys(SNIPPET.names))
+            shown = (int(i), j, told) if told and j is not None else None
+            made.append(build_snippet(tokens, a and int(a), b and int(b), hit, e, near, pair, count=n and int(n), verbatim=shown) or dict.fromkeys(SNIPPET.names))
         return pd.DataFrame(made, columns=SNIPPET.names)
 
-    made = make("kw_rank", "sem_rank", "real_chunk", "real_chunk_text", "description", "sem_chunk", "sem_chunk_text", "chunks")
+    made = make("kw_rank", "sem_rank", "real_chunk", "real_chunk_text", "description", "sem_chunk", "sem_chunk_text", "chunks", "exact_chunk", "exact_chunk_text")
     return out.withColumn("snippet", made).withColumn("snippet", F.when(F.col("snippet.text").isNotNull(), F.col("snippet"))).select(
         "position", "path", "title", F.col("fused").alias("score"), "tier", "snippet"
     )

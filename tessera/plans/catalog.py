@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text, udfs, vector
 from tessera.operators import bm25, canvas, cluster, dismissals, fusion, graph, heat, index, related, search
 from tessera.sources import adapters
+from tessera.sources.scratch import scratch_dir, stored
 from tessera.sources.adapters import NOW_MS, table
 from tessera.streaming import changes
 
@@ -98,8 +100,10 @@ def bm25_topk(spark, sf):
 
 @query(_bm25_sql(_WORDS, _DOCS_SQL, _TOP))
 def bm25_topk_indexed(spark, sf):
-    built = bm25.build_index(adapters.documents(spark, sf))
-    return bm25.top(bm25.score(built, bm25.query_terms(spark, QUERY)), 10).select("path", F.round("score", 6).alias("score"))
+    folder = f"{scratch_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    bm25.save_index(bm25.build_index(adapters.documents(spark, sf)), folder, sf)
+    terms = bm25.query_terms(spark, QUERY)
+    return bm25.top(bm25.score(bm25.load_index(spark, folder, sf).read(terms), terms), 10).select("path", F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql("('the', 1), ('tion', 2)", _DOCS_SQL, _TOP))
@@ -514,11 +518,11 @@ def knn_remove(spark, sf):
 
 @query(_PAIRS.format(3) + """, old AS (SELECT src, dst, pick_rank FROM picks),
 nv AS (SELECT path, folder, vec_id, CASE WHEN vec_id % 25 = 0 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM vecs),
-np AS (SELECT a.path AS src, b.path AS dst, a.folder = b.folder AS same, list_inner_product(a.v, b.v) AS sim, a.vec_id % 25 = 0 AS changed FROM nv a JOIN nv b ON a.vec_id != b.vec_id),
-m1 AS (SELECT *, row_number() OVER (PARTITION BY src, same ORDER BY sim DESC, dst) AS nth FROM np WHERE changed),
+np AS (SELECT a.path AS src, b.path AS dst, a.folder = b.folder AS same, list_inner_product(a.v, b.v) AS sim FROM nv a JOIN nv b ON a.vec_id != b.vec_id WHERE a.vec_id % 25 = 0),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY src, same ORDER BY sim DESC, dst) AS nth FROM np),
 own AS (SELECT src, dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM m1 WHERE NOT same OR nth <= 3) WHERE r <= 10)
 SELECT src, dst, round(sim, 6) AS sim FROM own UNION ALL
-SELECT old.src, old.dst, round(np.sim, 6) FROM old JOIN np ON np.src = old.src AND np.dst = old.dst WHERE NOT np.changed""")
+SELECT old.src, old.dst, round(list_inner_product(a.v, b.v), 6) FROM old JOIN nv a ON a.path = old.src JOIN nv b ON b.path = old.dst WHERE a.vec_id % 25 != 0""")
 def knn_upsert(spark, sf):
     rows = adapters.vectors(spark, sf)
     picks = graph.knn_picks(rows)
@@ -617,9 +621,10 @@ def upsert_merge(spark, sf):
     return index.upsert(rows.filter("o_orderkey % 2 = 0"), fresh, "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 16 = 0)")
 def delete_rows(spark, sf):
-    return index.delete(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    gone = table(spark, sf, "orders").filter("o_orderkey % 16 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return index.delete(table(spark, sf, "customer").select("c_custkey"), gone, "c_custkey")
 
 
 @query("SELECT doc_id FROM documents JOIN embeddings ON vec_id = doc_id WHERE length(string_split(text, chr(10))[2]) >= 10")
@@ -711,11 +716,35 @@ def unlinked_pairs(spark, sf):
     return found.select(F.concat(F.least(bare("a"), bare("b")), F.lit(".md")).alias("a"), F.concat(F.greatest(bare("a"), bare("b")), F.lit(".md")).alias("b")).distinct()
 
 
+_HASH = "lower(to_hex(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda a, x: (a * 33 + x) % 4294967296)))"
+_BOARD = _COS.format("0.0") + f""", top AS (SELECT *, row_number() OVER (ORDER BY position) AS p FROM po ORDER BY position LIMIT 10),
+pl AS (SELECT p, path, tier, score, {_HASH.format('path')} || '-' || p AS id, -90.0::DOUBLE + (p - 1) * 36 AS angle, greatest(760, ceil(630 / (2 * sin(pi() / 10)))) AS r FROM top)"""
+
+
+@query(_BOARD + f""" SELECT 0::BIGINT AS position, {_HASH.format("(SELECT path FROM q)")} || '-0' AS id, (SELECT path FROM q) AS file, -240::BIGINT AS x, -210::BIGINT AS y, '4' AS color
+UNION ALL SELECT p, id, path, (floor(r * cos(radians(angle)) + 0.5) - 200)::BIGINT, (floor(r * sin(radians(angle)) + 0.5) - 180)::BIGINT, CASE WHEN tier = 'cold' THEN '5' END FROM pl""")
+def canvas_nodes(spark, sf):
+    nodes, _ = _canvas(spark, sf)
+    return nodes.select(F.col("position").cast("long").alias("position"), "id", "file", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "color")
+
+
+@query(_BOARD + """, wr AS (SELECT *, angle - 360 * floor((angle + 180) / 360) AS w FROM pl),
+sd AS (SELECT *, CASE WHEN w >= -135 AND w < -45 THEN 'top' WHEN w >= -45 AND w < 45 THEN 'right' WHEN w >= 45 AND w < 135 THEN 'bottom' ELSE 'left' END AS side FROM wr)
+SELECT p::BIGINT AS position, 'e-' || id AS id, id AS to_node, side AS from_side, CASE side WHEN 'top' THEN 'bottom' WHEN 'bottom' THEN 'top' WHEN 'left' THEN 'right' ELSE 'left' END AS to_side,
+  'none' AS to_end, printf('%.2f', score) AS label, '6' AS color FROM sd""")
+def canvas_edges(spark, sf):
+    _, edges = _canvas(spark, sf)
+    return edges.select(F.col("position").cast("long").alias("position"), "id", "to_node", "from_side", "to_side", "to_end", "label", "color")
+
+
+def _canvas(spark, sf) -> tuple[DataFrame, DataFrame]:
+    near = related.discover(adapters.vectors(spark, sf), _anchor(spark, sf), _keyword_stub(spark, sf), 0.0)
+    return canvas.relation_graph(_anchor(spark, sf), near, canvas.empty_links(spark))
+
+
 @query()
 def canvas_layout(spark, sf):
-    near = related.discover(adapters.vectors(spark, sf), _anchor(spark, sf), _keyword_stub(spark, sf), 0.0)
-    nodes, edges = canvas.relation_graph(_anchor(spark, sf), near, canvas.empty_links(spark))
-    return canvas.canvas_json(nodes, edges)
+    return canvas.canvas_json(*_canvas(spark, sf))
 
 
 # Changes
@@ -752,7 +781,7 @@ def fuzzy_title(spark, sf):
 def hybrid_search(spark, sf):
     q = table(spark, sf, "embeddings").filter("vec_id = 3").first().embedding
     notes = adapters.notes(spark, sf)
-    chunks = adapters.chunks(spark, sf).join(notes.select("path", "vec"), "path", "left")
+    chunks = stored(adapters.chunks(spark, sf).join(notes.select("path", "vec"), "path", "left"), "chunks")
     return search.search(notes, chunks, QUERY, query_vec=q)
 
 
@@ -802,6 +831,10 @@ def hdbscan_topics(spark, sf):
     return cluster.grouped_contents(cluster.cluster_vectors(rows))
 
 
-@query()
+@query(f"""WITH {_VECS}, q AS (SELECT v FROM vecs WHERE vec_id = 0),
+s AS (SELECT path, tier, list_inner_product(vecs.v, q.v) AS score FROM vecs, q WHERE vec_id != 0),
+b AS (SELECT * FROM s WHERE score >= 0 ORDER BY score DESC, path LIMIT 100),
+g AS (SELECT tier, string_agg('- [[' || path || ']]', chr(10) ORDER BY score DESC, path) AS lines FROM b GROUP BY tier)
+SELECT string_agg(CASE WHEN tier = 'hot' THEN '## Hot' ELSE '## Cold' END || chr(10) || chr(10) || lines || chr(10), chr(10) ORDER BY tier != 'hot') AS markdown FROM g""")
 def flat_contents(spark, sf):
     return cluster.flat_contents(_results(spark, sf).select("path", "tier", "score"))

@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text, vector
+from tessera.functions import text, udfs, vector
+from tessera.functions.udfs import token_chunks
+from tessera.operators import index
+from tessera.sources.scratch import stored
 
 BATCH = 8
 
@@ -92,30 +95,53 @@ def embed(rows: DataFrame, provider: Provider, content: str = "content", out: st
     return clean.mapInPandas(run, schema)
 
 
+def cut_chunks(notes: DataFrame, provider: Provider, size: int = 2000, overlap: int = 100) -> DataFrame:
+    """(path, chunk_index, content) of notes (path, title, body): by the tokens of a provider that has a chunk policy (named tokens-overlap, as in
+    512-50), else by characters."""
+    if provider.chunk_policy is None:
+        return text.chunk_windows(notes.select("path", "title", "body"), "body", "title", size, overlap).select("path", "chunk_index", "content")
+    tokens, shared = (int(x) for x in re.findall(r"\d+", provider.chunk_policy)[-2:])
+    split = token_chunks(provider.count_tokens, tokens=tokens, overlap=shared, window=size)
+    return notes.filter("body IS NOT NULL").select("path", F.posexplode(split("body", "title")).alias("chunk_index", "content"))
+
+
 def index_notes(notes: DataFrame, provider: Provider, size: int = 2000, overlap: int = 100, now_ms: int = 0) -> tuple[DataFrame, DataFrame]:
     """Note and chunk rows of notes (path, mtime, created, title, description, tags, tier, body): chunks with vectors, their mean as the
-    note's, and the description's (empty where there is nothing to embed)."""
-    cut = text.chunk_windows(notes.select("path", "title", "body"), "body", "title", size, overlap).select("path", "chunk_index", "content")
-    chunks = embed(cut, provider)
+    note's, and the description's (empty where there is nothing to embed). Every text is embedded once: what is stored and what is pooled are the
+    same vectors."""
+    chunks = stored(embed(cut_chunks(notes, provider, size, overlap), provider), "chunks")
     pooled = vector.mean_pool(chunks, "path", "vec", weight_unit=True).withColumnRenamed("vec", "body_vec")
-    described = embed(notes.filter(F.length("description") >= 10).select("path", "description"), provider, "description", "desc_vec")
+    described = stored(embed(notes.filter(F.length("description") >= 10).select("path", "description"), provider, "description", "desc_vec"), "described")
     described = described.select("path", F.coalesce("desc_vec", F.array().cast("array<float>")).alias("desc_vec"))
     rows = notes.drop("body").join(pooled, "path", "left").join(described, "path", "left")
     return rows.withColumn("folder", text.folder_of(F.col("path"))).withColumn("body_dim", F.size("body_vec")).withColumn("indexed_at", F.lit(now_ms)), chunks
 
 
 def map_json(rows: DataFrame, ask: Callable[[str], str], prompt: str, out: str, parse: Callable[[str], dict], schema: str) -> DataFrame:
-    """rows with a struct parsed from a language model's answer to each prompt; null where the call or the parsing fails."""
-    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {out} {schema}"
+    """rows with a struct parsed from a language model's answer to each prompt, and error: what went wrong where the call or the answer did (the struct is
+    null then). Other exceptions are programming errors and end the job."""
+    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {out} {schema}, error string"
 
     def one(value: str):
         try:
-            return parse(ask(value))
-        except Exception:  # noqa: BLE001  a row's failure is that row's null
-            return None
+            return parse(ask(value)), None
+        except (OSError, ValueError) as failure:  # the network, or an answer that can't be read
+            return None, f"{type(failure).__name__}: {failure}"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(**{out: [one(x) for x in part[prompt]]})
+            made = [one(x) for x in part[prompt]]
+            yield part.assign(**{out: [x for x, _ in made], "error": [e for _, e in made]})
 
     return rows.mapInPandas(run, full)
+
+
+def describe(notes: DataFrame, contents: DataFrame, ask: Callable[[str], str], instruction: str = "Describe this note in one or two sentences, as JSON with description and tags.\n\n") -> DataFrame:
+    """(path, expected, description, tags, error) of notes that need a description: each one's text, without addresses and cut to a budget, is the prompt, and the
+    answer's reasoning goes. expected is what the note had, for compare and set."""
+    due = index.eligible_for_description(notes).select("path", F.col("description").alias("expected"))
+    rows = due.join(contents.select("path", "content"), "path")
+    rows = rows.select("path", "expected", F.concat(F.lit(instruction), udfs.sample_spread_col(text.strip_urls(F.col("content")))).alias("prompt"))
+    made = map_json(rows, ask, "prompt", "made", lambda x: udfs.parse_generated(udfs.strip_reasoning(x)), "struct<description:string,tags:array<string>>")
+    trimmed = udfs.trim_description_col(F.col("made.description"))
+    return made.select("path", "expected", F.nullif(trimmed, F.lit("")).alias("description"), F.col("made.tags").alias("tags"), "error")

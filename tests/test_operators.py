@@ -195,3 +195,31 @@ def test_global_rank(spark):
     assert one == many and sorted(one.values()) == list(range(1, 2001))
     flat = rows.withColumn("score", F.lit(1.0))
     assert sorted(r["rank"] for r in global_rank(flat, "score", "path", single=10, bucket_rows=150).collect()) == list(range(1, 2001))
+
+
+def test_percentile_by_ranges(spark):
+    """Exact whatever the number of values that is walked, with many ties too."""
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=3000), np.repeat([0.1, 0.5, 0.5, 0.9], 700), rng.integers(0, 5, 2500) / 5):
+        df = spark.createDataFrame([(float(x),) for x in values], "sim double")
+        for percent in (0, 45, 50.5, 99.9, 100):
+            assert near(graph.edge_percentile(df, percent, most=50).first()[0], float(np.percentile(values, percent)))
+
+
+def test_contents_fall_back(spark):
+    rows = [(f"n{i}", f"T{i}", "hot", [float(i % 2), float(i) / 100], 1.0 - i / 50) for i in range(12)]
+    df = spark.createDataFrame(rows, "path string, title string, tier string, vec array<float>, score double")
+    clustered = cluster.cluster_vectors(df)
+    named = cluster.contents(clustered, "q", lambda titles: f"Topic of {len(titles)}").first()[0]
+    assert named.startswith("# q") and "## Topic of 6" in named
+    one = df.withColumn("label", F.lit(-1).cast("long"))
+    assert cluster.contents(one, "q").first()[0].startswith("## Hot")
+    with pytest.raises(ValueError):
+        cluster.cluster_vectors(spark.range(101).select(F.col("id").cast("string").alias("path"), F.array(F.lit(1.0)).alias("vec")))
+
+
+def test_expand_canvas_parks():
+    board = canvas.expand_canvas(_board(), "a.md", [{"path": f"n{i}.md", "score": None} for i in range(200)], {})
+    assert board["added"] == 200 and len(board["parked_ids"]) > 0 and board["canvas"]["edges"][0]["label"] == "–"
+    boxes = [(n["x"], n["y"]) for n in board["canvas"]["nodes"] if n["id"] not in board["parked_ids"]]
+    assert all(abs(a - c) >= 500 or abs(b - d) >= 460 for i, (a, b) in enumerate(boxes) for c, d in boxes[:i])

@@ -74,7 +74,7 @@ def test_index_run(spark, tmp_path):
     store, provider = Store(spark, str(tmp_path / "store")).open(), embedding.HashingProvider()
     read = lambda: markdown.read_notes(spark, str(folder))
     run = indexing.update(store, read(), provider, 10**13)
-    assert (run.indexed, run.removed, run.hot) == (2, 0, 1)  # a links, and the link's target isn't a path of b.md
+    assert (run.indexed, run.removed, run.hot) == (2, 0, 2)  # a links to b
     assert {r.path: r.title for r in store.notes().collect()} == {"a.md": "Alpha", "b.md": "Beta"}
     assert indexing.update(store, read(), provider, 10**13).indexed == 0
     (folder / "b.md").unlink()
@@ -89,3 +89,97 @@ def test_index_run(spark, tmp_path):
     assert [r.path for r in store.notes().collect()] == ["c.md"]
     write(spark.createDataFrame([("d.md", "index")], "path string, action string"), 1)
     assert store.read("picks", "src string, dst string, sim double, pick_rank int").select("src").collect()[0].src == "d.md"
+
+
+def test_links_between_folders(spark):
+    links = spark.createDataFrame([("a/One.md", "Two", 1), ("a/One.md", "b/Two", 2), ("b/Four.md", "two.md", 1), ("c/x.md", "Two", 1), ("a/One.md", "gone", 1)], "src string, dst string, n int")
+    notes = spark.createDataFrame([("a/One.md",), ("a/Two.md",), ("b/Two.md",), ("b/Four.md",), ("c/x.md",)], "path string")
+    found, lost = markdown.resolve_links(links, notes)
+    assert {tuple(r) for r in found.collect()} == {("a/One.md", "a/Two.md", 1), ("a/One.md", "b/Two.md", 2), ("b/Four.md", "b/Two.md", 1), ("c/x.md", "a/Two.md", 1)}
+    assert [tuple(r) for r in lost.collect()] == [("a/One.md", "gone", 1)]
+
+
+def test_each_text_is_embedded_once_and_upgrades(spark, tmp_path):
+    from tessera.plans import indexing
+
+    class CountingProvider(embedding.HashingProvider):
+        """Writes each text that it embeds to a folder."""
+
+        def __init__(self, folder, policy=None):
+            super().__init__()
+            self.folder, self.chunk_policy = folder, policy
+
+        def embed(self, texts):
+            import os
+            import uuid
+
+            for _ in texts:
+                open(os.path.join(self.folder, uuid.uuid4().hex), "w").close()
+            return super().embed(texts)
+
+    folder, calls = tmp_path / "notes", tmp_path / "calls"
+    folder.mkdir()
+    calls.mkdir()
+    (folder / "a.md").write_text("# Alpha\n" + "apples and pears. " * 300)
+    (folder / "long.md").write_text("word " * 14_000)
+    store = Store(spark, str(tmp_path / "store")).open()
+    read = lambda: markdown.read_notes(spark, str(folder))
+    assert indexing.start(store, read(), CountingProvider(str(calls)), 1) == "bootstrap"
+    indexing.update(store, read(), CountingProvider(str(calls)), 1)
+    n = store.chunks().count()
+    assert len(list(calls.iterdir())) == n > 30 and store.meta("chunk_policy") == "char2000-o100"
+    assert sum(len(r.content) for r in store.chunks().filter("path = 'long.md'").collect()) > 69_000
+    assert indexing.start(store, read(), CountingProvider(str(calls)), 2) == "caught-up" and len(list(calls.iterdir())) == n
+    assert indexing.maintain_graph(store, 10**9, 0) and not indexing.maintain_graph(store, 10**9, 0)
+    assert indexing.trusted_graph(store).count() == 2
+    by_tokens = CountingProvider(str(calls), "512-50")
+    indexing.update(store, read(), by_tokens, 10)
+    assert store.meta("chunk_policy") == "512-50" and store.meta("chunk_target") is None
+    assert all(by_tokens.count_tokens(r.content) <= 512 for r in store.chunks().collect()) and len(list(calls.iterdir())) == n + store.chunks().count()
+    assert indexing.trusted_graph(store) is None
+    assert indexing.update(store, read(), by_tokens, 11).indexed == 0
+
+
+def test_describe_batch(spark, tmp_path):
+    from tessera.plans import indexing
+
+    folder = tmp_path / "notes"
+    folder.mkdir()
+    (folder / "a.md").write_text("# Alpha\nabout apples")
+    (folder / "b.md").write_text("# Beta\nBROKEN")
+    store = Store(spark, str(tmp_path / "store")).open()
+    files = markdown.read_notes(spark, str(folder))
+    indexing.update(store, files, embedding.HashingProvider(), 1)
+
+    def ask(prompt):
+        if "BROKEN" in prompt:
+            raise OSError("no network")
+        return '<think>hm</think>{"description": "On apples.", "tags": ["fruit"]}'
+
+    assert indexing.describe_batch(store, files, ask) == 1
+    assert {r.path: r.description for r in store.notes().collect()} == {"a.md": "On apples.", "b.md": None}
+    assert indexing.cancellable(spark, "batch", lambda: spark.range(3).count()) == 3
+
+
+def test_verbatim_snippet(spark):
+    notes = spark.createDataFrame([("f/a", "Apples", None, "hot"), ("f/b", "Pears", None, "hot")], "path string, title string, description string, tier string")
+    chunks = spark.createDataFrame([("f/a", 0, "Apples\ngreen and red"), ("f/a", 1, "Apples\nsome words, then the red apple pie"), ("f/b", 0, "Pears\npie of red pears")], "path string, chunk_index int, content string")
+    got = search.search(notes, chunks.withColumn("vec", F.lit(None).cast("array<float>")), '"red apple"').collect()
+    assert got[0].path == "f/a" and got[0].snippet.chunk_index == 1 and got[0].snippet.text == "some words, then the red apple pie"
+    assert got[0].snippet.ranges[0].s == got[0].snippet.text.index("red apple")
+
+
+def test_stored_index(spark, tmp_path):
+    from tessera.operators import bm25
+
+    docs = spark.createDataFrame([(f"d{i}", 0, f"spark word{i % 7} " + "fast " * (i % 3)) for i in range(60)], "path string, chunk_index int, content string")
+    folder = str(tmp_path / "index")
+    assert bm25.load_index(spark, folder, "1") is None
+    bm25.save_index(bm25.build_index(docs), folder, "1", 8)
+    assert bm25.load_index(spark, folder, "2") is None
+    terms = bm25.query_terms(spark, "word3 fast absent")
+    index = bm25.load_index(spark, folder, "1").read(terms)
+    plan = index.postings._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan and "PushedFilters: [In(term" in plan
+    one = {r.path: round(r.score, 9) for r in bm25.score(index, terms).collect()}
+    assert one == {r.path: round(r.score, 9) for r in bm25.score_text(docs, "word3 fast absent").collect()} and len(one) > 20
