@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import CACHES, claim, small_batches
 
+#: A cache's bound: each entry counts once, and once more for every 16 characters of its key.
 CACHE = 300_000
 #: Lengths of pre-tokens' beginnings whose tables are kept, and how many.
 HEADS, HEAD_CACHE = (9, 5), 50_000
@@ -39,10 +40,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PairCache:
-    """A map of bounded size with two generations: what was used since the last turn stays."""
+    """A map of bounded memory with two generations: what was used since the last turn stays. Keys are texts or bytes, whose values grow no faster
+    than they do; a key of more than a sixteenth of the limit isn't kept."""
 
     def __init__(self, limit: int = CACHE):
-        self.limit, self.young, self.old = limit, {}, {}
+        self.limit, self.held, self.young, self.old = limit, 0, {}, {}
 
     def get(self, key):
         found = self.young.get(key)
@@ -51,8 +53,13 @@ class PairCache:
         return found
 
     def put(self, key, value):
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
+        weight = 1 + len(key) // 16
+        if weight > 1 + self.limit // 16:
+            return
+        if self.held + weight > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+        if key not in self.young:
+            self.held += weight
         self.young[key] = value
 
 

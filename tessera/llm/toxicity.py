@@ -6,11 +6,13 @@ logit. The decision threshold is calibrated for each language: a naive Bayes hea
 and each language's logits are shifted so that its own threshold falls on ``THRESHOLD``.
 
 The model is fitted on at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled texts (those with the smallest hashes of
-their ids; all of them when there are fewer). Scoring reads whole texts.
+their ids; all of them when there are fewer), and of either label on at most ``SAMPLE_BYTES`` of features, 12 bytes for each word: a text
+that would go beyond them is passed over in training. Scoring reads whole texts.
 
 Cases: null and empty texts are scored as texts without words. Without examples of both labels every score is 0 (1 if all
-are toxic). Repeated rows give repeated results; repeated labels of a document count once, toxic if any says so; an
-empty table gives an empty result; columns besides those that are read are ignored.
+are toxic). Repeated rows give repeated results, but are one text in training; repeated labels of a document count once, toxic if any
+says so; labels without a document aren't used; texts that share an id share its label; an empty table gives an empty result;
+columns besides those that are read are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, word_hashes
+from tessera.llm.common import discard, materialize, small_batches, word_hashes
 
 THRESHOLD = 0.7
 SAMPLE_TOXIC = 2_500
 SAMPLE_CLEAN = 3_500
+SAMPLE_BYTES = 64 << 20
 BUCKETS = 1 << 15
 DIM = 8
 FILTERS = 8
@@ -200,20 +203,45 @@ def best_cut(z: np.ndarray, labels: np.ndarray, default: float) -> float:
 
 def _task_features(batches):
     for batch in batches:
-        rows = [features(x) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in rows], pa.binary())], names=["toxic", "lang", "rows"])
+        rows = [features(x).tobytes() for x in batch.column(2).to_pylist()]
+        arrays = [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(map(len, rows), pa.int64()), pa.array(rows, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["toxic", "lang", "pick", "digest", "bytes", "rows"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> ToxicityModel:
+def _within(sizes: list[tuple], limits: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """Of (toxic, pick, digest, bytes) in ascending order the keys of the rows that both bounds of their label leave."""
+    held, kept = dict.fromkeys(limits, 0), []
+    for label, pick, digest, size in sizes:
+        if limits[label] > 0 and held[label] + size <= most:
+            limits[label] -= 1
+            held[label] += size
+            kept.append((label, pick, digest))
+    return kept
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, most_bytes: int = SAMPLE_BYTES
+) -> ToxicityModel:
     """Fit on labels (doc_id, toxic) and the texts and languages of docs (doc_id, text, lang)."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     model = ToxicityModel()
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(toxic).unionByName(known.filter("toxic = 0").orderBy(*order).limit(clean))
     texts = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("toxic", "lang", "text").mapInArrow(_task_features, "toxic int, lang string, rows binary").toPandas()
+    keyed = texts.select("toxic", "lang", "text", F.xxhash64("doc_id").alias("pick"), F.xxhash64("doc_id", "lang", "text").alias("digest"))
+    schema = "toxic int, lang string, pick long, digest long, bytes long, rows binary"
+    found = materialize(keyed.mapInArrow(_task_features, schema), "toxicity-features")
+    key = ["toxic", "pick", "digest"]
+    # An id may stand on any number of texts: each label's first rows are taken before anything comes to the driver.
+    once = found.groupBy(*key).agg(F.max("bytes").alias("bytes"))
+    sizes = [once.filter(F.col("toxic") == label).orderBy("pick", "digest").limit(n) for label, n in ((0, clean), (1, toxic))]
+    kept = _within([tuple(r) for r in sizes[0].unionByName(sizes[1]).orderBy(*key).collect()], {0: clean, 1: toxic}, most_bytes)
+    few = spark.createDataFrame(kept, "toxic int, pick long, digest long")
+    rows = found.join(F.broadcast(few), key).groupBy(*key).agg(F.first("lang").alias("lang"), F.first("rows").alias("rows")).toPandas()
+    discard(found)
     if rows.toxic.nunique() < 2:
         model.constant = float(len(rows) > 0 and rows.toxic.iloc[0] == 1)
         return model

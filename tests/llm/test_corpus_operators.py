@@ -554,6 +554,36 @@ def test_pii_plan_is_native(docs):
 # Toxicity
 
 
+def test_pair_cache_is_bounded():
+    cache = bpe.PairCache(64)
+    for i in range(1_000):
+        cache.put(f"{i:04d}" * (1 + i % 12), i)
+        weigh = lambda held: sum(1 + len(k) // 16 for k in held)
+        assert weigh(cache.young) == cache.held <= 64 and weigh(cache.old) <= 64
+        assert cache.get(f"{i:04d}" * (1 + i % 12)) == i
+    cache.put("x" * 1_000, 1)
+    assert cache.get("x" * 1_000) is None
+
+
+def test_toxicity_sample(spark):
+    """Bounds by rows and bytes; repeated rows are one, texts of one id share its label, labels without a document are passed over."""
+    rows = [(i, f"good day number {i} " * 5, "a") for i in range(30)] + [(100 + i, f"vile rotten words {i} " * 5, "a") for i in range(30)]
+    rows += [rows[0]] * 3 + [(1, "another text of one id", "a"), (500, "vile " * 100_000, "a"), (None, "no id", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in [*range(30), *range(100, 130), 500, 9_999]], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.ToxicityModel.train
+    try:
+        toxicity.ToxicityModel.train = lambda self, texts, y, *a: (seen.append((texts, y)), train(self, texts, y, *a))[1]
+        toxicity.fit(docs, labels, most_bytes=1 << 20)
+        toxicity.fit(docs, labels, toxic=4, clean=7)
+    finally:
+        toxicity.ToxicityModel.train = train
+    (texts, y), (few, few_y) = seen
+    assert len(texts) == 61 and y.sum() == 30 and max(x.shape[1] for x in texts) < 100
+    assert len(few) == 11 and few_y.sum() == 4
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 3) != 1))
