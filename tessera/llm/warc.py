@@ -33,11 +33,13 @@ from tessera.llm.common import materialize, shared_dir, small_batches
 
 #: Compressed bytes after which the writer begins a new file: the reader holds a file in memory.
 FILE_BYTES = 8 << 20
+#: Files that a task reads back, as long as that needs no more than so many tasks.
+FILES_PER_TASK, MOST_TASKS = 2, 20_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The base-32 alphabet (fixed value).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
+_MAGIC, _VERSION, HEAD_END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 CUT = "gzip: the member is cut short"
 
 
@@ -72,19 +74,38 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
-def parse_record(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, int]:
+class Marks:
+    """Where a mark next stands in a file's bytes: its place is kept until a search begins beyond it, so that many searches take one pass."""
+
+    def __init__(self, data: bytes, mark: bytes):
+        self.data, self.mark, self.asked, self.found = data, mark, 0, -1
+
+    def after(self, at: int) -> int:
+        """The first place from ``at`` on, the length of the bytes where there is none."""
+        if not self.asked <= at <= self.found:
+            found = self.data.find(self.mark, at)
+            self.asked, self.found = at, len(self.data) if found < 0 else found
+        return self.found
+
+
+def parse_record(data: bytes, start: int = 0, ends: Marks | None = None) -> tuple[dict[str, str], bytes, int]:
     """The header, the block and the end of the record that starts at a place; raises Damaged."""
     if data[start : start + len(_VERSION)] != _VERSION:
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", start)
-    if end < 0:
+    end = (ends or Marks(data, HEAD_END)).after(start)
+    if end == len(data):
         raise Damaged("no end of the header")
     header = {}
-    for line in data[start:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    at = data.find(b"\r\n", start)
+    if not data[start + len(_VERSION) : at].strip().isdigit():
+        raise Damaged("no version line")
+    while at < end:
+        stop = data.find(b"\r\n", at + 2)
+        name, colon, value = data[at + 2 : stop].partition(b":")
         if not colon:
             raise Damaged("a header line without a colon")
         header[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        at = stop
     length = header.get("content-length", "")
     if not length.isdigit():
         raise Damaged("no content length")
@@ -124,14 +145,14 @@ def _inflate(data: bytes, start: int) -> tuple[bytes, int, str | None]:
 def _records(plain: bytes):
     """Yield ('record', start, end, header, block) and ('gap', start, end, reason, None) over a member's content."""
     at, begin, reason = 0, None, None
+    ends, versions = Marks(plain, HEAD_END), Marks(plain, _VERSION)
     while at < len(plain):
         try:
-            header, block, end = parse_record(plain, at)
+            header, block, end = parse_record(plain, at, ends)
         except Damaged as error:
             if begin is None:
                 begin, reason = at, str(error)
-            found = plain.find(_VERSION, at + 1)
-            at = found if found >= 0 else len(plain)
+            at = versions.after(at + 1)
             continue
         if begin is not None:
             yield "gap", begin, at, reason, None
@@ -142,11 +163,11 @@ def _records(plain: bytes):
         yield "gap", begin, len(plain), reason, None
 
 
-def _member(data: bytes, start: int) -> tuple[list[tuple], int, str | None]:
+def _member(data: bytes, start: int, ends: Marks) -> tuple[list[tuple], int, str | None]:
     """Of the gzip member or plain record at a place what salvage() yields, where it ends, and what is wrong with the member; raises
     Damaged if nothing can be had of it."""
     if data[start : start + 3] != _MAGIC:
-        header, block, end = parse_record(data, start)
+        header, block, end = parse_record(data, start, ends)
         return [("record", start, end - start, header, block)], end, None
     plain, end, trouble = _inflate(data, start)
     found = list(_records(plain))
@@ -171,13 +192,14 @@ def salvage(data: bytes):
     member has the member's offset and length, and so has a gap between the records of a sound member. A damaged member gives the
     records before its damage, then a gap from its start on."""
     at, begin, reason = 0, None, None
+    ends, members, versions = Marks(data, HEAD_END), Marks(data, _MAGIC), Marks(data, _VERSION)
     while at < len(data):
         try:
-            found, end, trouble = _member(data, at)
+            found, end, trouble = _member(data, at, ends)
         except Damaged as error:
             if begin is None:
                 begin, reason = at, str(error)
-            at = _next_start(data, at + 1, at + 1)
+            at = min(members.after(at + 1), versions.after(at + 1))
             continue
         if begin is not None:
             yield "gap", begin, at - begin, reason, None
@@ -188,17 +210,11 @@ def salvage(data: bytes):
         else:
             # A version line in what was inflated is a stored block's, whose records have been had.
             begin, reason = at, trouble
-            at = _next_start(data, at + 1, end)
+            at = min(members.after(at + 1), versions.after(end))
     if begin is not None:
         yield "gap", begin, len(data) - begin, reason, None
 
 
-def _next_start(data: bytes, at: int, plain: int) -> int:
-    """The next place where a gzip member (from at on) or a version line (from plain on) may begin."""
-    found = [x for x in (data.find(_MAGIC, at), data.find(_VERSION, plain)) if x >= 0]
-    return min(found, default=len(data))
-
-
 def mark_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url") -> DataFrame:
     """page_id, url, payload and first (the page a record revisits, else null). Only ids and digests are shuffled to find
     the first pages; one more shuffle by page id and digest joins them with the payloads."""
@@ -284,33 +300,61 @@ def _row(path: str, found, with_payload: bool) -> dict:
     }
 
 
+def _batches(path: str, data: bytes, with_payload: bool):
+    """What salvage() yields of a file, in batches of 512 rows or 4 MB of payloads."""
+    held, size = [], 0
+    for found in salvage(data):
+        held.append(_row(path, found, with_payload))
+        size += len(held[-1]["payload"] or b"")
+        if len(held) >= 512 or size > 4 << 20:
+            yield pa.RecordBatch.from_pylist(held, schema=_READ_ARROW)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_READ_ARROW)
+
+
 def read_archives(spark: SparkSession, paths: list[str], with_payload: bool = True) -> DataFrame:
     """Records and quarantined gaps of archive files (kind 'record' or 'gap'). A file is one unit of work."""
 
     def run(batches):
         for batch in batches:
             for path, data in zip(batch.column(0), batch.column(1), strict=True):
-                held, size = [], 0
-                for found in salvage(data.as_py() or b""):
-                    held.append(_row(path.as_py(), found, with_payload))
-                    size += len(held[-1]["payload"] or b"")
-                    if len(held) >= 512 or size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(held, schema=_READ_ARROW)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema=_READ_ARROW)
+                yield from _batches(path.as_py(), data.as_py() or b"", with_payload)
 
     if not paths:
         return spark.createDataFrame([], _READ)
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, _READ)
 
 
+def read_written(files: DataFrame, with_payload: bool = True) -> DataFrame:
+    """What read_archives() gives, of the files that write_archives() lists: the list stays a table, whose tasks read the files themselves. A file
+    from which fewer or more records come than were written is an error."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                source, place = fs.FileSystem.from_uri(path)
+                with source.open_input_stream(place, compression=None) as file:
+                    data = file.read()
+                read = 0
+                for rows in _batches(path, data, with_payload):
+                    read += rows.column(0).to_pylist().count("record")
+                    yield rows
+                if read != wanted:
+                    raise RuntimeError(f"{path}: {wanted} records were written, {read} are read")
+
+    # Some MB for each task, whose number no hash of a short list of files decides.
+    parts = max(1, min(-(-files.count() // FILES_PER_TASK), MOST_TASKS))
+    return files.select("path", "records").repartition(parts).mapInArrow(run, _READ)
+
+
 def archive_pages(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
     """Write all pages as WARC records and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     files = write_archives(mark_revisits(pages, least), folder)
-    paths = [r.path for r in files.select("path").orderBy("path").collect()]  # one short row for each file
-    found = read_archives(spark, paths, with_payload=False).filter("kind = 'record'")
+    found = read_written(files, with_payload=False).filter("kind = 'record'")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -336,6 +336,41 @@ def test_salvage():
     assert [f[0] for f in warc.salvage(wrong + records[1])] == ["gap", "record"]
 
 
+def test_salvage_with_false_starts():
+    """Against a search that looks at every place anew: marks of members and version lines that begin nothing."""
+    rng = random.Random(9)
+    false = [b"\x1f\x8b\x08", b"WARC/1.", b"WARC/1.1\r\nno colon\r\n\r\n", b"WARC/1.1\r\nContent-Length: 99999999\r\n\r\n", b"junk"]
+    parts, at, want = [], 0, []
+    for i in range(1_500):
+        part = rng.choice(false) + bytes([rng.randrange(32, 127)])
+        if i % 100 == 50:
+            part = warc.build_record(i, f"http://x/{i}", rng.randbytes(300).hex().encode(), None)
+            part = warc.gzip_member(part) if i % 200 == 50 else part
+            want.append((at, len(part)))
+        parts.append(part)
+        at += len(part)
+    found = list(warc.salvage(b"".join(parts)))
+    assert [x[1:3] for x in found if x[0] == "record"] == want
+    end = 0
+    for x in found:
+        assert x[1] == end
+        end += x[2]
+    assert end == at
+
+
+def test_warc_records_that_go_missing(spark, tmp_path):
+    """A file that gives back another number of records than were written is an error, not a shorter result."""
+    df = spark.createDataFrame([(i, "u", f"text {i}") for i in range(6)], "page_id long, url string, html string")
+    files = warc.write_archives(warc.mark_revisits(df), f"file://{tmp_path}/a")
+    assert sorted(r.page_id for r in warc.read_written(files).collect()) == list(range(6))
+    path = files.first().path.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[20:120] = b"\xff" * 100
+    open(path, "wb").write(data)
+    with pytest.raises(Exception, match="records were written"):
+        warc.read_written(files).collect()
+
+
 def test_salvage_within_members():
     """Of a member with many records, one damaged record or a damaged end loses no other record."""
     rng = random.Random(5)
