@@ -87,8 +87,8 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-#: Parts that the rows of one key are spread over in joins.
-SPREAD = 16
+#: Parts that the rows of one key are spread over in joins: a key with a third of all rows is then in no task with more than a few thousandths of them.
+SPREAD = 128
 
 
 def join_spread(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
