@@ -4,8 +4,8 @@ A Bloom filter is stored bit-sliced: each slot holds one bit for every language,
 slots is the set of all languages whose filter contains it. A text's n-grams are looked up, each language's bits are
 counted, the counts are corrected for the language's false-positive rate, and the largest decides.
 
-The filters are fitted on at most ``SAMPLE`` labelled rows (those with the smallest hashes of their ids; all rows when
-there are fewer); an n-gram enters a language's filter when at least ``SHARE`` of the language's fitted texts have it.
+The filters are fitted on about ``SAMPLE`` labelled rows of each language (those whose hashes are below the language's
+share; all rows when there are fewer), so that a rare language is learned beside common ones; an n-gram enters a language's filter when at least ``SHARE`` of the language's fitted texts have it.
 
 Cases: a text that is null or has no letter gets ``und`` and score 0; so does everything when nothing was learned. Ties go
 to the language that comes first by code point. Repeated rows give repeated results; an empty table
@@ -14,6 +14,7 @@ gives an empty result; columns besides those that are read are ignored.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mix64, small_batches
 
-SAMPLE = 10_000
+SAMPLE = 2_500
+HASH_PARTS = 1 << 20
 SHARE = 0.02
 SLOTS = 1 << 17
 HASHES = 3
@@ -141,12 +143,17 @@ def _task_grams(batches):
 
 
 def fit_filter(labelled: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> LanguageFilter:
-    """Fit on rows (doc_id, text, lang). At most ``sample`` rows are read; what reaches the driver is the filters'
-    n-grams: those that ``share`` of a language's texts have, so a bounded number for each language."""
+    """Fit on rows (doc_id, text, lang). Of each language about ``sample`` rows are read, of repeated rows one; what reaches the driver
+    is a row for each language, and the filters' n-grams: those that ``share`` of a language's texts have, so a bounded number for each
+    language."""
     small_batches(labelled.sparkSession)
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("lang").cast("string").alias("lang"), "text")
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(
+        "doc_id", "text", F.col("lang").cast("string").alias("lang")
+    )
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    below = [F.lit(x) for r in sizes for x in (r.lang, math.ceil(min(1.0, sample / r.n) * HASH_PARTS))]
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASH_PARTS)) < F.create_map(*below)[F.col("lang")] if below else F.lit(False)
+    chosen = rows.filter(drawn).dropDuplicates(["doc_id", "text", "lang"]).select("lang", "text")
     counted = chosen.mapInArrow(_task_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).cache()
     totals = {r.lang: r.n for r in counted.filter("gram = -1").collect()}
     languages = sorted(totals)
