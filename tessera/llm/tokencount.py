@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup on the map side, without a shuffle of pre-tokens.
 
-First tier: a broadcast table of the token counts of frequent pre-tokens. Each task counts the words of its
-texts in a bounded counter (lossy counting over all its rows) and hands on its best; the union's best
-``table_size`` words, with a blank before them and without, go into the table. Second tier: a pre-token that
+First tier: a broadcast table of the token counts of frequent pre-tokens. Each task counts the pre-tokens of its
+texts in a bounded counter (lossy counting over all its rows; those above ``LONGEST`` characters aren't candidates) and
+hands on its ``TASK_PIECES`` best; the ``table_size`` best of their sums make the table. Second tier: a pre-token that
 the table lacks is encoded once and remembered in the worker's bounded cache. The table only saves time: a
 count never depends on it.
 
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -28,9 +27,9 @@ from tessera.llm.common import CACHES, claim, small_batches
 #: The split of the byte-level pre-tokenizer (a fixed value of the vocabulary file's format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TABLE = 32_768
-TASK_WORDS = 4_096
+TASK_PIECES = 4_096
 COUNTER = 100_000
-LONGEST_WORD = 32
+LONGEST = 32
 
 
 class PieceCounter:
@@ -92,35 +91,30 @@ def piece_counter(path: str) -> PieceCounter:
     return _COUNTERS[path]
 
 
-def _task_words(batches):
-    """Lossy counting: when the counter is full, words seen no more than once in each filled round go."""
+def _task_pieces(batches):
+    """Lossy counting: when the counter is full, every count goes down by one, and pre-tokens without a count go."""
+    split = regex.compile(BYTE_LEVEL).findall
     seen: Counter[str] = Counter()
-    rounds = 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            seen.update(text.split())
+            seen.update(p for p in split(text) if len(p) <= LONGEST)
             if len(seen) > COUNTER:
-                rounds += 1
-                seen = Counter({w: n - 1 for w, n in seen.items() if n > 1})
-    best = [(w, n) for w, n in seen.most_common(TASK_WORDS) if len(w) <= LONGEST_WORD]
+                seen = Counter({p: n - 1 for p, n in seen.items() if n > 1})
+    best = seen.most_common(TASK_PIECES)
     yield pa.RecordBatch.from_pydict(
-        {"word": [w for w, _ in best], "n": [n for _, n in best]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())])
+        {"piece": [p for p, _ in best], "n": [n for _, n in best]}, schema=pa.schema([("piece", pa.string()), ("n", pa.int64())])
     )
 
 
 def frequent_pieces(rows: DataFrame, path: str, table_size: int = TABLE) -> dict[str, int]:
-    """Token counts of the corpus's most frequent words, each also with a blank before it."""
-    words = (
-        rows.select("text").mapInArrow(_task_words, "word string, n long")
-        .groupBy("word").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word").limit(table_size)
+    """Token counts of the corpus's most frequent pre-tokens. What is shuffled is a bounded table of each task, not its pre-tokens."""
+    pieces = (
+        rows.select("text").mapInArrow(_task_pieces, "piece string, n long")
+        .groupBy("piece").agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "piece").limit(table_size)
     )
     counter = piece_counter(path)
-    table: dict[str, int] = {}
-    for row in words.collect():
-        for piece in counter.pattern.findall(" " + row.word) + counter.pattern.findall(row.word):
-            table[piece] = counter.piece(piece)
-    return dict(islice(table.items(), 2 * table_size))
+    return {r.piece: counter.piece(r.piece) for r in pieces.collect()}
 
 
 def count_tokens(
@@ -128,7 +122,7 @@ def count_tokens(
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than limit tokens) of every whole text.
 
-    The broadcast table has at most 2 * table_size short entries, whatever the corpus.
+    The broadcast table has at most table_size entries of LONGEST characters, whatever the corpus.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
