@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -169,6 +170,14 @@ def test_token_counts(docs, odd, empty):
     assert small == tokencount.count_tokens(docs, JSON).agg(F.sum("n_tokens")).first()[0]
 
 
+def test_frequent_pieces_are_pretokens(spark):
+    rows = spark.createDataFrame([("in the house, in the tree " * 5,), ("x" * 100,)] * 3, "text string")
+    table = tokencount.frequent_pieces(rows, JSON, 5)
+    lib = Tokenizer.from_file(JSON)
+    assert set(table) == {" the", " in", " house", " tree", ","}
+    assert all(len(lib.encode(p, add_special_tokens=False).ids) == n for p, n in table.items())
+
+
 # Mixing
 
 
@@ -461,6 +470,45 @@ def test_languages(spark, odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """N-grams of case-folded letters by hand: every run of other characters is one blank, and the text is between blanks."""
+    line = " " + "".join(c if unicodedata.category(c).startswith("L") else "\0" for c in text.lower()) + " "
+    line = re.sub("(?<=[^ \0])\0+", " ", line).replace("\0", "")
+    return [line[i : i + n] for n in (2, 3) for i in range(len(line) - n + 1)] if line.strip() else []
+
+
+def test_languages_against_plain_sets(spark, docs):
+    """Filters large enough to be free of false positives decide as plain sets of n-grams do."""
+    held = crc_mod("doc_id", 4) == 2
+    model = langid.fit_filter(docs.filter(~held).select("doc_id", "text", "lang"))
+    held_sets = collections.defaultdict(list)
+    for r in docs.filter(~held).filter("lang IS NOT NULL AND text IS NOT NULL").collect():
+        held_sets[r.lang].append(set(plain_grams(r.text)))
+    known = {}
+    for lang, sets in held_sets.items():
+        n = collections.Counter(g for s in sets for g in s)
+        known[lang] = {g for g, k in n.items() if k >= max(1.0, langid.SHARE * len(sets))}
+    assert model.languages == sorted(known)
+    same = close = 0
+    texts = [r.text for r in docs.filter(held).collect() if r.text and plain_grams(r.text)]
+    for text in texts:
+        found = plain_grams(text)
+        want = {lang: sum(g in known[lang] for g in found) for lang in model.languages}
+        counts = dict(zip(model.languages, model.counts(langid.grams(text)), strict=True))
+        assert len(found) == len(langid.grams(text))
+        close += all(abs(counts[x] - want[x]) <= 2 + 0.02 * len(found) for x in want)
+        same += want[model.predict(text)[0]] == max(want.values())
+    assert close >= 0.98 * len(texts) and same >= 0.98 * len(texts)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the house and the tree number {i}", "en") for i in range(400)]
+    rows += [(1000, "przyszłość źdźbła jest wśród łąk", "pl")] * 3 + [(None, "only without an id", "xx")]
+    model = langid.fit_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert model.languages == ["en", "pl"]
+    assert model.predict("wśród łąk")[0] == "pl" and model.predict("the tree")[0] == "en"
+
+
 def test_filter_has_no_false_negatives():
     rng = np.random.default_rng(4)
     model = langid.LanguageFilter([f"l{i:02d}" for i in range(70)], slots=1 << 12)
