@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHES, claim, small_batches
+from tessera.llm.common import CACHES, claim, frugal, small_batches
 
 #: A cache's bound: each entry counts once, and once more for every 16 characters of its key.
-CACHE = 300_000
+CACHE = 200_000
 #: Lengths of pre-tokens' beginnings whose tables are kept, and how many.
 HEADS, HEAD_CACHE = (9, 5), 50_000
 
@@ -293,4 +293,4 @@ def encode_documents(
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)

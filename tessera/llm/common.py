@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of a batch that goes to a Python worker: a batch is held several times over while it is worked on.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -56,6 +59,28 @@ def claim(owner: str = "") -> None:
     for name, empty in CACHES.items():
         if name != owner:
             empty()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: an idle worker would keep it, beside those of the operators after it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def frugal(work):
+    """A function for mapInArrow that gives its memory back when a task ends."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

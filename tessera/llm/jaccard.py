@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import SPREAD, claim, discard, free_name, join_spread, materialize, mix64, small_batches, word_hashes
+from tessera.llm.common import SPREAD, claim, discard, free_name, frugal, join_spread, materialize, mix64, small_batches, word_hashes
 
 WORDS = 4
 PERCENT = 85
@@ -238,9 +238,9 @@ def _stars(batches):
 
 def candidate_links(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(u, v, crowded): links among which, or among whose stars (v, where crowded), every pair of sets is that may link. One shuffle of the lane keys."""
-    keyed = _texts(docs, id_col, text_col).filter("doc_id IS NOT NULL").select("text").mapInArrow(_keyed(percent, words), "key long, node long, slack int")
+    keyed = _texts(docs, id_col, text_col).filter("doc_id IS NOT NULL").select("text").mapInArrow(frugal(_keyed(percent, words)), "key long, node long, slack int")
     stars = materialize(
-        keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "node long, other long, slack int, crowded boolean")
+        keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(frugal(_stars), "node long, other long, slack int, crowded boolean")
         .groupBy("node", "other", "slack", "crowded").agg(F.count(F.lit(1)).alias("keys")),
         "stars",
     )
@@ -409,7 +409,7 @@ def _bodies(texts: DataFrame, known: DataFrame, clusters: DataFrame) -> DataFram
                 seen.add(node)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    out = materialize(chosen.mapInArrow(once, "node long, n long, root long, large boolean, text string"), "bodies")
+    out = materialize(chosen.mapInArrow(frugal(once), "node long, n long, root long, large boolean, text string"), "bodies")
     discard(pick)
     return out
 
@@ -420,7 +420,7 @@ _CELL = ("star", "large", "p", "q")
 def _block_links(cells: DataFrame, percent: int, words: int) -> DataFrame:
     """(u, v): links among the sets of each cell; cells has _CELL, side, node, root (the component so far) and text."""
     placed = cells.select(*_CELL, "side", "node", "root", "text").repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
-    return placed.mapInArrow(_check_blocks(percent, words), "u long, v long")
+    return placed.mapInArrow(frugal(_check_blocks(percent, words)), "u long, v long")
 
 
 def _star_links(candidates: DataFrame, bodies: DataFrame, percent: int, words: int) -> DataFrame:
@@ -433,7 +433,7 @@ def _star_links(candidates: DataFrame, bodies: DataFrame, percent: int, words: i
         F.col("v").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "node", text
     )
     both = heads.unionByName(leaves).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "side", "node")
-    return both.mapInArrow(_check_stars(percent, words), "u long, v long")
+    return both.mapInArrow(frugal(_check_stars(percent, words)), "u long, v long")
 
 
 def _rest_links(candidates: DataFrame, roots: DataFrame, bodies: DataFrame, percent: int, words: int) -> DataFrame | None:
@@ -473,7 +473,7 @@ def _link_sets(docs: DataFrame, percent: int, words: int, id_col: str, text_col:
     """doc_id, n_shingles, node (the set), root (its component) and component_id of every row; the last three are null without an id or set."""
     small_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
-    known = materialize(texts.mapInArrow(lambda batches: _members(batches, words), "doc_id long, n_shingles long, node long, digest long"), "nodes")
+    known = materialize(texts.mapInArrow(frugal(lambda batches: _members(batches, words)), "doc_id long, n_shingles long, node long, digest long"), "nodes")
     candidates = candidate_links(docs, percent, words, id_col, text_col)
     clusters = components(candidates)
     bodies = _bodies(texts, known, clusters)
@@ -522,7 +522,7 @@ def _with_nodes(docs: DataFrame, name: str, words: int, text_col: str) -> DataFr
             nodes = pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialize, small_batches, word_hashes
+from tessera.llm.common import discard, frugal, materialize, small_batches, word_hashes
 
 THRESHOLD = 0.7
 SAMPLE_TOXIC = 2_500
@@ -233,7 +233,7 @@ def fit(
     texts = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text").join(F.broadcast(chosen), "doc_id")
     keyed = texts.select("toxic", "lang", "text", F.xxhash64("doc_id").alias("pick"), F.xxhash64("doc_id", "lang", "text").alias("digest"))
     schema = "toxic int, lang string, pick long, digest long, bytes long, rows binary"
-    found = materialize(keyed.mapInArrow(_task_features, schema), "toxicity-features")
+    found = materialize(keyed.mapInArrow(frugal(_task_features), schema), "toxicity-features")
     key = ["toxic", "pick", "digest"]
     # An id may stand on any number of texts: each label's first rows are taken before anything comes to the driver.
     once = found.groupBy(*key).agg(F.max("bytes").alias("bytes"))
@@ -268,7 +268,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(frugal(run), "doc_id long, score double, predicted int")
 
 
 def accept_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
@@ -281,4 +281,4 @@ def accept_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "tex
             yield batch.filter(pa.array([shared.value.score(x) < THRESHOLD for x in batch.column(at).to_pylist()], pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
