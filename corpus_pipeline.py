@@ -12,13 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, jaccard, mixing, pii, toxicity
-from tessera.llm.common import crc_mod, shared_dir
+from tessera.llm.common import crc_mod, give_back, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, each row by its own text. It is fitted on the labels that op8 may use, with the texts of this stage's input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 3) != 1))
+    give_back()  # the driver would keep the training's memory through all stages
     return toxicity.accept_documents(docs, model)
 
 

@@ -52,6 +52,8 @@ BLOCK, BLOCK_BYTES = 1_000, 8 << 20
 BROADCAST_ROWS = 200_000
 #: Sets that a task remembers, so as not to work on repeats again.
 SEEN = 100_000
+#: Links whose components the driver finds by itself (16 bytes each), as each round of joins costs it some 19 jobs with their plans. More links take the rounds.
+DRIVER_LINKS = 200_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -265,10 +267,31 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return spread.join(part.select("u", "spread").join(least, "u"), ["u", "spread"]).select("u", "v", "m")
 
 
+def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (u, v), each once, and the smallest node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        for side in (root[a], root[b]):
+            np.minimum.at(root, side, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _components_here(edges: DataFrame) -> DataFrame:
+    """components() of few edges, found by the driver."""
+    table = edges.select("u", "v").toArrow()
+    nodes, roots = least_nodes(table["u"].to_numpy(), table["v"].to_numpy())
+    return materialize(edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": roots})), "roots")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes that have an edge.
 
-    Alternates two star steps until the edges are stars; every round is written to the shared folder.
+    Up to DRIVER_LINKS edges go to the driver. More of them alternate two star steps until the edges are stars; every round is written to the shared folder.
     """
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
     mark = None
@@ -276,6 +299,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark or not seen[0]:
             break
+        if seen[0] <= DRIVER_LINKS:
+            out = _components_here(now)
+            discard(now)
+            return out
         mark = tuple(seen)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()

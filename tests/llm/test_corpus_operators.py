@@ -771,6 +771,43 @@ def test_join_odd(odd, empty):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8] and kept.columns == odd.columns
 
 
+def jobs_of(spark, group, work):
+    """What work gives, and how many Spark jobs it takes."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_components_in_few_jobs(spark, monkeypatch, most):
+    """Few links need no rounds of joins, whose plans the driver pays for; more of them give the same in rounds."""
+    rng = random.Random(3)
+    chain = list(range(0, 4000, 100))
+    links = [(rng.randrange(-500, 500) * 7 + 10_000, rng.randrange(-500, 500) * 7 + 10_000) for _ in range(600)]
+    links += list(zip(chain, chain[1:])) + [(-(2**62), x) for x in range(-900, -600)] + [(2**62, 2**62), (chain[1], chain[0])]
+    root = {x: x for link in links for x in link}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        low, high = sorted((top(u), top(v)))
+        root[high] = low
+    want = {x: top(x) for x in root if x != 2**62}
+    monkeypatch.setattr(jaccard, "DRIVER_LINKS", most, raising=False)
+    edges = spark.createDataFrame(links, "u long, v long").repartition(3)
+    found, n = jobs_of(spark, f"components-{most}", lambda: jaccard.components(edges))
+    got = [tuple(r) for r in found.select("node", "root").collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert (n <= 8) == (most > 0)
+    assert jaccard.components(edges.limit(0)).count() == 0
+
+
 def test_keep_first_decides_by_row(spark, monkeypatch):
     """Null ids, and ids that stand on several texts, lose no clean row."""
     a, b, c = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
