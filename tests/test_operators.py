@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +84,52 @@ def test_knn_blocks(spark):
     assert one == many == want
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_knn_of_odd_vectors(spark, kind):
+    """Many equal vectors, vectors of two lengths, of zeros, huge and tiny, large and single folders: as found one by one, ties by path."""
+    rng = np.random.default_rng(5)
+    f = ["a" if i < 50 else f"g{i % 11}" if i < 130 else f"own{i}" for i in range(150)]
+    p = [f"{f[i]}/{(i * 7919) % 1000:04d}é" for i in range(150)]
+    v = [rng.normal(size=8 if i % 7 else 3).astype(np.float32) for i in range(150)]
+    for i in range(6, 150, 3):
+        v[i] = v[3 * (i % 4 == 0)]
+    v[10], v[11], v[13] = np.zeros(8, dtype=np.float32), v[11] * np.float32(1e18), v[13] * np.float32(1e-30)
+    rows = spark.createDataFrame([(p[i], v[i].astype(float).tolist()) for i in range(150)], f"path string, vec array<{kind}>").repartition(5)
+    in_turn = lambda a, b: functools.reduce(lambda s, t: s + float(t[0]) * float(t[1]), zip(a, b), 0.0)
+    dots = [[in_turn(v[i], v[j]) if len(v[i]) == len(v[j]) else None for j in range(150)] for i in range(150)]
+    for k, cap, block in ((10, 3, 2048), (4, None, 16), (3, 10, 33)):
+        want = {}
+        for i in range(150):
+            own = n = 0
+            for _, name, j in sorted((-dots[i][j], p[j], j) for j in range(150) if j != i and dots[i][j] is not None):
+                own += f[i] == f[j]
+                if n < k and (f[i] != f[j] or own <= (cap or k)):
+                    n += 1
+                    want[p[i], n] = (name, dots[i][j])
+        assert {(r.src, r.pick_rank): (r.dst, r.sim) for r in graph.knn_picks(rows, k, cap, block=block).collect()} == want
+
+
+def _tasks(spark, name, run):
+    """The tasks of the largest stage."""
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
+    return max(s.numTasks for s in stages if s is not None)
+
+
+def test_knn_is_spread(spark):
+    """Few blocks still give every core some tasks: a group's share of the others can be divided too."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(f"f/{i}", rng.normal(size=4).tolist()) for i in range(300)], "path string, vec array<float>").coalesce(1)
+    assert _tasks(spark, "spread", lambda: graph.knn_picks(rows, 3, 0, block=50).collect()) >= 24
+    few = rows.filter("path < 'f/12'").select("path")
+    picks = graph.knn_picks(rows, 3, 0, block=50)
+    want = {(r.src, r.dst, r.sim) for r in picks.collect()}
+    assert {(r.src, r.dst, r.sim) for r in graph.upsert_notes(rows, picks, few, 3, 0, block=50).collect()} == want
+
+
 def test_knn_upkeep():
     assert graph.rebuild_due(5, 100, False, 0, 60_000) and not graph.rebuild_due(4, 100, False, 0, 60_000) and not graph.rebuild_due(9, 100, True, 1, 60_000)
     assert graph.trusted(3, 3) and not graph.trusted(None, 3) and graph.pack_watermark(5, [7, 6]) == 7
