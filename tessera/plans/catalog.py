@@ -498,7 +498,7 @@ def _hops() -> str:
 def widest_path(spark, sf):
     rows = adapters.vectors(spark, sf)
     ends = {r.vec_id: r.path for r in rows.filter("vec_id IN (0, 7)").select("vec_id", "path").collect()}
-    return graph.widest_path(graph.undirected(_picks(spark, sf)).cache(), ends[0], ends[7]).select("path", "hops", F.round("bottleneck", 6).alias("bottleneck"))
+    return graph.widest_path(graph.undirected(_picks(spark, sf)), ends[0], ends[7]).select("path", "hops", F.round("bottleneck", 6).alias("bottleneck"))
 
 
 @query(_PAIRS.format(3) + _hops() + """, th AS (SELECT quantile_cont(sim, 0.45) AS t FROM edges)
@@ -506,7 +506,7 @@ SELECT CASE WHEN hops IS NULL THEN 'none' WHEN width < t THEN 'weak' ELSE 'stron
 def path_verdict(spark, sf):
     rows = adapters.vectors(spark, sf)
     ends = {r.vec_id: r.path for r in rows.filter("vec_id IN (0, 7)").select("vec_id", "path").collect()}
-    out = graph.path_verdict(graph.undirected(_picks(spark, sf)).cache(), ends[0], ends[7])
+    out = graph.path_verdict(graph.undirected(_picks(spark, sf)), ends[0], ends[7])
     return out.select("verdict", "hops", F.round("bottleneck", 6).alias("bottleneck"), F.round("threshold", 6).alias("threshold"))
 
 

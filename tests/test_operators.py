@@ -271,6 +271,13 @@ def test_percentile_computes_its_edges_once(spark):
     assert near(graph.edge_percentile(edges, 45, most=50).first()[0], float(np.percentile([i * 7919 % 3001 / 7 for i in range(3000)], 45))) and seen.value == 3000
 
 
+def test_paths_compute_their_edges_once(spark):
+    chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", 1 - i / 500) for i in range(200)], "a string, b string, sim double")
+    for run, want in ((graph.widest_path, ["n000", "n001", "n002", "n003"]), (graph.path_verdict, "strong")):
+        edges, seen = _counted(spark, chain, chain.schema)
+        assert run(edges, "n000", "n003").first()[0] == want and seen.value == 200
+
+
 def test_contents_fall_back(spark):
     rows = [(f"n{i}", f"T{i}", "hot", [float(i % 2), float(i) / 100], 1.0 - i / 50) for i in range(12)]
     df = spark.createDataFrame(rows, "path string, title string, tier string, vec array<float>, score double")
