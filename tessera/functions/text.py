@@ -52,7 +52,7 @@ def tokenize(c: Column, bigrams: bool = False) -> Column:
     # Most texts have word runs only: folded as a whole (all of it is ASCII by then), they need no step for each token. ASCII texts aren't searched for others.
     mixed = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(TOKEN_RUN), F.lit(0)), one))
     words = F.lower(F.array_join(F.regexp_extract_all(c, F.lit("[A-Za-z0-9_-]+"), F.lit(0)), " "))
-    plain = F.when(F.length(words) > 0, F.split(words, " ")).otherwise(F.array().cast("array<string>"))
+    plain = F.array_remove(F.split(words, " "), "")  # named once, so that it is searched once: a text without words gives one empty string
     return F.when((F.octet_length(c) != F.length(c)) & c.rlike(BEYOND_WORDS), mixed).when(c.isNotNull(), plain)
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.sources.scratch import stored
+from tessera.sources.scratch import small_batches, stored
 
 K1, B, TF_CAP = 1.5, 0.75, 65535
 DESCRIPTION = -1  # chunk_index of a note's description
@@ -38,11 +40,47 @@ def corpus(chunks: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     return out.unionByName(described.select("path", F.lit(DESCRIPTION).alias("chunk_index"), F.col("description").alias("content")))
 
 
-def term_counts(docs: DataFrame, bigrams: bool = True, simplify: tuple[str, str] | None = None) -> DataFrame:
-    """(path, chunk_index, term, tf). A document's tokens are exploded and counted; Spark combines them before the shuffle."""
+def _repeated(docs: DataFrame) -> bool:
+    """Whether two rows are of one document: only then its terms lie in more than one row."""
+    return bool(docs.groupBy("path", "chunk_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").head(1))
+
+
+def _counted(docs: DataFrame, bigrams: bool, simplify: tuple[str, str] | None) -> DataFrame:
+    """(path, chunk_index, dl, term, tf). Each row's tokens are counted where they are, so that no postings are shuffled; rows of one document and length, if there
+    are any, are added up after that."""
+    small_batches(docs.sparkSession)
     tokens = text.tokenize(text.normalize_for_search(F.col("content"), simplify), bigrams)
-    exploded = docs.select("path", "chunk_index", F.explode(tokens).alias("term"))
-    return exploded.groupBy("path", "chunk_index", "term").agg(F.least(F.count(F.lit(1)), F.lit(TF_CAP)).cast("int").alias("tf"))
+    rows = docs.select("path", "chunk_index", tokens.alias("tokens"))
+
+    def count(batches):
+        for b in batches:
+            found = pa.table({"row": pc.list_parent_indices(b.column("tokens")), "term": pc.list_flatten(b.column("tokens"))})
+            found = found.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            at = found.column("row").combine_chunks()
+            lengths = pc.list_value_length(b.column("tokens")).take(at)
+            for made in pa.table({
+                "path": b.column("path").take(at), "chunk_index": b.column("chunk_index").take(at), "dl": lengths, "term": found.column("term"),
+                "tf": pc.cast(found.column("count_all"), pa.int64()),
+            }).to_batches(max_chunksize=20_000):
+                yield made
+
+    kind = docs.schema["chunk_index"].dataType.simpleString()
+    counted = rows.mapInArrow(count, f"path string, chunk_index {kind}, dl int, term string, tf bigint")
+    if _repeated(docs):
+        counted = counted.groupBy("path", "chunk_index", "dl", "term").agg(F.sum("tf").alias("tf"))
+    return counted
+
+
+def _capped(tf: Column) -> Column:
+    return F.least(tf, F.lit(TF_CAP)).cast("int").alias("tf")
+
+
+def term_counts(docs: DataFrame, bigrams: bool = True, simplify: tuple[str, str] | None = None) -> DataFrame:
+    """(path, chunk_index, term, tf). A document's tokens are counted where it lies; only documents in several rows meet in a shuffle."""
+    counted = _counted(docs, bigrams, simplify)
+    if _repeated(docs):
+        counted = counted.groupBy("path", "chunk_index", "term").agg(F.sum("tf").alias("tf"))
+    return counted.select("path", "chunk_index", "term", _capped(F.col("tf")))
 
 
 def doc_lengths(docs: DataFrame, bigrams: bool = True, simplify: tuple[str, str] | None = None) -> DataFrame:
@@ -57,12 +95,18 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, bigrams: bool = True, simplify: tuple[str, str] | None = None) -> Index:
     """The index as a plan. The length of a document stands beside each of its terms, so that a query needs no join with all documents."""
-    tokens = text.tokenize(text.normalize_for_search(F.col("content"), simplify), bigrams)
-    rows = docs.select("path", "chunk_index", tokens.alias("tokens"), F.coalesce(F.size(tokens), F.lit(0)).alias("dl"))
-    postings = rows.select("path", "chunk_index", "dl", F.explode("tokens").alias("term")).groupBy("path", "chunk_index", "term", "dl")
-    postings = postings.agg(F.least(F.count(F.lit(1)), F.lit(TF_CAP)).cast("int").alias("tf"))
+    postings = _counted(docs, bigrams, simplify).select("term", "path", "chunk_index", _capped(F.col("tf")), "dl")
     lengths = doc_lengths(docs, bigrams, simplify)
-    return Index(postings.select("term", "path", "chunk_index", "tf", "dl"), lengths, corpus_stats(lengths))
+    return Index(postings, lengths, corpus_stats(lengths))
+
+
+def document_counts(docs: DataFrame, bigrams: bool = True, simplify: tuple[str, str] | None = None) -> DataFrame:
+    """(term, df) of all terms, without postings: a document's different terms are combined before the shuffle."""
+    tokens = text.tokenize(text.normalize_for_search(F.col("content"), simplify), bigrams)
+    rows = docs.select("path", "chunk_index", F.explode(F.array_distinct(tokens)).alias("term"))
+    if _repeated(docs):
+        rows = rows.distinct()
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -117,7 +161,11 @@ def query_terms(spark, query: str, simplify: tuple[str, str] | None = None) -> D
 def idf(postings: DataFrame, stats: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(term, df, idf) of the given terms (broadcast: a query's), or of all."""
     rows = postings if terms is None else postings.join(F.broadcast(terms.select("term")), "term", "left_semi")
-    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return with_idf(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+
+
+def with_idf(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) from (term, df)."""
     value = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return counts.crossJoin(F.broadcast(stats)).select("term", "df", value.alias("idf"))
 

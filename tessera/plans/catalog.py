@@ -89,8 +89,9 @@ def bm25_postings(spark, sf):
 WITH d AS ({_DOCS_SQL}), n AS (SELECT count(*) AS n FROM d), x AS (SELECT term, count(DISTINCT path) AS df FROM (SELECT path, unnest(t) AS term FROM d) GROUP BY term)
 SELECT term, df::BIGINT AS df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM x, n""")
 def bm25_idf(spark, sf):
-    built = bm25.build_index(adapters.documents(spark, sf))
-    return bm25.idf(built.postings, built.stats).select("term", "df", F.round("idf", 6).alias("idf"))
+    docs = adapters.documents(spark, sf)
+    found = bm25.with_idf(bm25.document_counts(docs), bm25.corpus_stats(bm25.doc_lengths(docs)))
+    return found.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(_bm25_sql(_WORDS, _DOCS_SQL, _TOP))

@@ -22,6 +22,26 @@ def test_bm25(spark):
     assert bm25.score_text(docs, "absent").count() == 0
 
 
+def test_postings_arent_shuffled(spark, sf):
+    """Terms are counted where their documents lie; document counts are combined by the term alone."""
+    from tessera.plans.catalog import QUERIES
+
+    for name in ("bm25_postings", "bm25_idf"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(path" not in plan and "hashpartitioning(term" in plan or name == "bm25_postings" and "Exchange" not in plan
+    built = bm25.build_index(spark.createDataFrame([("a", 0, "x")], "path string, chunk_index int, content string"))
+    assert "Exchange" not in built.postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_documents_in_several_rows(spark):
+    docs = spark.createDataFrame(
+        [("a", 0, "x y X"), ("a", 0, "x z w"), ("a", 1, None), ("b", 0, ""), ("c", 0, "漢字漢字 x"), ("d", 0, "-- É_x")], "path string, chunk_index int, content string"
+    ).repartition(3)
+    got = {(r.path, r.term): r.tf for r in bm25.term_counts(docs, bigrams=False).collect()}
+    assert got == {("a", "x"): 3, ("a", "y"): 1, ("a", "z"): 1, ("a", "w"): 1, ("c", "x"): 1, ("c", "漢字漢"): 1, ("c", "字漢字"): 1, ("d", "--"): 1, ("d", "_x"): 1}
+    assert {r.term: r.df for r in bm25.document_counts(docs).collect()}["x"] == 2
+
+
 def test_pooling(spark):
     rows = spark.createDataFrame([("a", -1, 3.0), ("a", 0, 1.0), ("a", 1, 2.0)], "path string, chunk_index int, score double")
     r = bm25.pool_notes(rows).first()
