@@ -7,13 +7,16 @@ import math
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import SAFE_ENDINGS
+from tessera.sources.scratch import small_batches
 
 ELLIPSIS = "…"
 _BREAKS = set("\n。！？.!?")
@@ -22,6 +25,13 @@ _ASCII_TOKEN = re.compile(r"^[a-z0-9_-]+$")
 _WIDE = re.compile("[　-〿぀-ヿ㄀-ㄯ㐀-鿿ꀀ-퟿豈-﫿＀-￯\U00020000-\U0003134f]")
 
 
+def _whole_texts() -> None:
+    """For UDFs of whole texts: batches bounded by bytes, as thousands of long texts would fill a worker."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        small_batches(spark)
+
+
 def jaro(a: str, b: str) -> float:
     """Jaro similarity: matches within half the longer length, less half the matches that are out of order."""
     if a == b:
@@ -100,6 +110,7 @@ def split_by_tokens(
 
 def token_chunks(count: Callable[[str], int], **options):
     """A UDF (body, title) -> array of chunks."""
+    _whole_texts()
 
     @F.pandas_udf("array<string>")
     def split(bodies: pd.Series, titles: pd.Series) -> pd.Series:
@@ -282,6 +293,7 @@ def sample_spread(text: str, budget: float = 3000, parts: int = 6, joint: str =
 
 def sample_spread_col(c):
     """sample_spread of a column."""
+    _whole_texts()
     return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else sample_spread(x)), "string")(c)
 
 
@@ -295,8 +307,8 @@ _SENTENCE = re.compile("[。！？][」』）\"'”’]*|[.!?][)\"'」』）”
 def trim_description(text: str, width: int = 500) -> str:
     """Cut to a display width: at the last sentence end that fits, if that keeps half the width, else with an ellipsis. A result that would
     pass for an old cut gets an ellipsis too."""
-    if display_width(text) > width:
-        ends = [m.end() for m in _SENTENCE.finditer(text)]
+    if len(text) > width or display_width(text) > width:
+        ends = takewhile(lambda e: e <= width, (m.end() for m in _SENTENCE.finditer(text)))  # no character is narrower than 1
         fitting = [e for e in ends if display_width(text[:e]) <= width]
         if fitting and display_width(text[: fitting[-1]]) * 2 >= width:
             text = text[: fitting[-1]].rstrip()
@@ -316,6 +328,7 @@ def trim_description(text: str, width: int = 500) -> str:
 
 def trim_description_col(c):
     """trim_description of a column."""
+    _whole_texts()
     return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else trim_description(x)), "string")(c)
 
 
@@ -467,6 +480,7 @@ def insert_related_link(content: str, heading: str, link: str) -> str | None:
 
 def insert_related_link_col(content, heading, link):
     """insert_related_link of columns."""
+    _whole_texts()
 
     @F.pandas_udf("string")
     def insert(c: pd.Series, h: pd.Series, k: pd.Series) -> pd.Series:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text, udfs
@@ -117,3 +118,23 @@ def test_related_section():
     assert udfs.insert_related_link("## R\n- [[y]]\n\n# B", "## R", "[[x]]") == "## R\n- [[y]]\n- [[x]]\n\n# B"
     assert udfs.insert_related_link("## R\n- [[x]]", "## R", "[[x]]") is None
     assert udfs.insert_related_link("```\ncode", "## R", "[[x]]") == "```\ncode\n```\n\n## R\n- [[x]]\n"
+
+
+@pytest.mark.parametrize("name", ["token_chunks", "trim_descriptions", "sample_spread", "related_section"])
+def test_long_texts_go_in_small_batches(spark, tmp_path, monkeypatch, name):
+    """Batches of whole texts are bounded by bytes, not by rows alone."""
+    from tessera.plans.catalog import QUERIES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(i, "A word. " * 12_500) for i in range(120)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 30))
+        df = QUERIES[name](spark, str(tmp_path))
+        assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20
+        seen = spark.sparkContext.accumulator(0)
+        sizes = F.pandas_udf(lambda s: seen.add(len(s) > 60) or s, "string")
+        spark.read.parquet(f"{tmp_path}/documents.parquet").select(F.length(sizes("text"))).collect()
+        assert seen.value == 0 and df.select("doc_id").distinct().count() == 120
+    finally:
+        spark.conf.set(key, before)
